@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Text that one step of a Python task holds at once (a longer single text is held whole).
 CHUNK_BYTES = 8 << 20
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚…–—¿¡·•"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +60,13 @@ class Words:
     """The words of some texts: codes into distinct, all texts in a row; text i has codes[starts[i]:starts[i + 1]].
 
     Words are runs of other characters than ASCII white space, A-Z in lower case. Null is the empty text.
+    With fold, all letters are in lower case and punctuation at a word's ends is left out, and with it
+    words of nothing else.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, fold: bool = False):
         texts = pc.fill_null(texts, "")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts) if fold else pc.ascii_lower(texts))
         flat = lists.flatten()
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
@@ -75,6 +78,12 @@ class Words:
         self.codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.distinct: pa.Array = encoded.dictionary
         self.starts = offsets
+        if fold:
+            merged = pc.utf8_trim(self.distinct, PUNCTUATION).dictionary_encode()
+            codes = merged.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.codes]
+            self.distinct = merged.dictionary
+            full = pc.greater(pc.binary_length(self.distinct), 0).to_numpy(zero_copy_only=False)[codes]
+            self.starts, self.codes = np.concatenate(([0], np.cumsum(full)))[offsets], codes[full]
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """XXH64 of each distinct word."""
