@@ -61,12 +61,12 @@ class Words:
 
     Words are runs of other characters than ASCII white space, A-Z in lower case. Null is the empty text.
     With fold, all letters are in lower case and punctuation at a word's ends is left out, and with it
-    words of nothing else.
+    words of nothing else. With as_is, letters keep their case.
     """
 
-    def __init__(self, texts: pa.Array, fold: bool = False):
+    def __init__(self, texts: pa.Array, fold: bool = False, as_is: bool = False):
         texts = pc.fill_null(texts, "")
-        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts) if fold else pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(texts if as_is else pc.utf8_lower(texts) if fold else pc.ascii_lower(texts))
         flat = lists.flatten()
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
