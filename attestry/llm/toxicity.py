@@ -62,6 +62,9 @@ class LexiconTrie:
             for letter in term:
                 node = node.setdefault(letter, {})
             node[""] = term
+        cut = {(t, k, edits_allowed(t) + 1) for t in terms for k in range(edits_allowed(t) + 1)}
+        #: A word within the allowed edits of a term has one of these in it: a term's parts are one more than its edits.
+        self.parts = sorted({t[k * len(t) // n : (k + 1) * len(t) // n] for t, k, n in cut})
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its allowed edits (ties: the first in order), and its distance."""
@@ -122,6 +125,8 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
         self.trie, self.stems = LexiconTrie([t for t in model.terms if t[-1] != "*"]), {t[:-1] for t in model.terms if t[-1] == "*"}
+        # what no term can be near to: no part of one, and no sign or digit among its letters
+        self.may_hit = "|".join([*map(re.escape, [*self.trie.parts, *sorted(self.stems)]), r"\pL[^\pL]+\pL", "[0-9]"])
 
     def hit(self, token: str) -> tuple[float, str, int] | None:
         """Worth, matched word and edits of a token's best hit."""
@@ -155,16 +160,20 @@ class Scorer:
     def features(self, texts: pa.Array) -> np.ndarray:
         """Of each text: the strongest hit and the logarithm of their sum."""
         words = Words(texts)
-        distinct = words.distinct.to_pylist()
-        hits = [self.hit(w) for w in distinct]
-        places = np.flatnonzero(np.fromiter((h is not None for h in hits), bool, len(hits))[words.codes]) if distinct else np.empty(0, np.int64)
         out = np.zeros((len(words.starts) - 1, 2))
+        if not self.model.terms:
+            return out
+        may = np.flatnonzero(pc.match_substring_regex(pc.utf8_lower(words.distinct), self.may_hit).to_numpy(zero_copy_only=False))
+        hits = {c: found for c, w in zip(may.tolist(), words.distinct.take(pa.array(may)).to_pylist(), strict=True) if (found := self.hit(w))}
+        hit = np.zeros(len(words.distinct), bool)
+        hit[list(hits)] = True
+        places = np.flatnonzero(hit[words.codes])
         rows = np.searchsorted(words.starts, places, "right") - 1
         for row in np.unique(rows).tolist():
             start, stop = int(words.starts[row]), int(words.starts[row + 1])
-            tokens = [distinct[c] for c in words.codes[start:stop]]
+            tokens = words.distinct.take(pa.array(words.codes[start:stop])).to_pylist()
             at = set((places[rows == row] - start).tolist())
-            scores = [hits[words.codes[start + i]][0] * self.context(tokens, i, at) for i in at]
+            scores = [hits[int(words.codes[start + i])][0] * self.context(tokens, i, at) for i in at]
             out[row] = max(scores), math.log1p(sum(scores))
         return out
 
