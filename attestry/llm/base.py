@@ -21,20 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that the executors share, and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written stages, which all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, local mode takes a
-    temporary folder and a cluster a folder in the warehouse.
+    Where that is unset, local mode takes a temporary folder and a cluster a folder in the warehouse.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and context.getCheckpointDir():
+        folder = context.getCheckpointDir()
+    if not folder:
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        folder = tempfile.mkdtemp(prefix="attestry-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-            folder = tempfile.mkdtemp(prefix="attestry-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -52,16 +52,20 @@ def simhash(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp) for each row; fp is the fingerprint as a signed long. A null text counts as empty."""
+    """(id, text_key, fp) for each row: text_key is the text's XXH64, fp the fingerprint as a signed long.
+
+    A null text counts as empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "text"):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
             values = np.fromiter((simhash(t, size) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(values)], ["id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return rows.mapInArrow(run, "id long, text_key long, fp long")
 
 
 class Golay:
@@ -128,6 +132,16 @@ def linked(fps: DataFrame) -> DataFrame:
     return met.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b").distinct()
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows(id, fp, ...) with component, the smallest id of a group."""
+    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    found = components(linked(classes))
+    named = classes.join(found, classes.fp == found.node).groupBy("component").agg(F.min("least").alias("name"), F.min("fp").alias("grp"))
+    renamed = found.join(named, "component").select(F.col("node").alias("fp"), "name", "grp")
+    names = classes.join(renamed, "fp", "left").select("fp", F.coalesce("name", "least").alias("component"), F.coalesce("grp", "fp").alias("grp"))
+    return rows.join(names, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, fp, component) for each row: component is the smallest id reachable by fingerprint links.
 
@@ -135,10 +149,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows each come back. Null ids never name a component unless nothing else is in it. Columns besides the
     two named ones are ignored; an empty table gives an empty result.
     """
+    return _grouped(cut_lineage(fingerprints(docs, id_col, text_col, size))).select("id", "fp", "component")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """One row of docs of each group of near duplicates, with its columns: that with the smallest id.
+
+    Null ids come last, ties go to the smaller hash of the text, and of rows repeated entirely one stays.
+    """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, size))
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(linked(classes))
-    named = classes.join(found, classes.fp == found.node).groupBy("component").agg(F.min("least").alias("name"))
-    renamed = found.join(named, "component").select(F.col("node").alias("fp"), "name")
-    names = classes.join(renamed, "fp", "left").select("fp", F.coalesce("name", "least").alias("component"))
-    return rows.join(names, "fp").select("id", "fp", "component")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
+    first = cut_lineage(_grouped(rows).groupBy("grp").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    chosen = first.select(F.col("first.id").alias("__id"), F.col("first.text_key").alias("__key"))
+    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
+    repeated = rows.groupBy("id", "text_key").count().where("count > 1").join(chosen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
