@@ -2,7 +2,7 @@
 
 A page is cut into blocks. Blocks of its article are content. Blocks in menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments are not. The rest is open, and the host decides: the token streams of all blocks
-outside of articles are concatenated, and their suffixes are ranked by their first DEPTH tokens. A run of equal
+outside of articles are put together, and their suffixes are ranked by their first DEPTH tokens. A run of equal
 ranks holds the suffixes that share these tokens, so a run with two pages is a repeated substring, and the tokens
 that repeated substrings cover are all those which lie in any repeated substring of DEPTH or more tokens. Covered
 tokens of open blocks are boilerplate, the unique runs between them stay.
@@ -158,21 +158,15 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
 
 def _depths(tokens: list[str], host: str) -> list[int]:
-    """The rank of each suffix of a token stream: a hash of the host and the first DEPTH tokens."""
+    """The rank of each suffix of a block: a hash of the host and the first DEPTH tokens (of a shorter block, all)."""
     digest = xxhash.xxh64_intdigest
-    ranks = (digest("\x00".join((host, *tokens[i : i + DEPTH]))) for i in range(len(tokens) - DEPTH + 1))
+    ranks = (digest("\x00".join((host, *tokens[i : i + DEPTH]))) for i in range(max(1, len(tokens) - DEPTH + 1)))
     return [r - (1 << 64) if r >> 63 else r for r in ranks]
 
 
 def _streams(found: list[tuple[str, int]]) -> list[tuple[int, list[str]]]:
-    """Token streams outside of the article, with their kind: neighbouring blocks of a kind run together."""
-    out: list[tuple[int, list[str]]] = []
-    for text, kind in found:
-        if kind != ARTICLE:
-            if not out or out[-1][0] != kind:
-                out.append((kind, []))
-            out[-1][1].extend(text.lower().split())
-    return out
+    """The kind and tokens of each block outside of the article. A repeated substring doesn't cross blocks."""
+    return [(kind, text.lower().split()) for text, kind in found if kind != ARTICLE]
 
 
 _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -208,21 +202,18 @@ def _suffixes(rows: DataFrame) -> DataFrame:
 
 
 def page_text(page: str, covered: set[tuple[int, int]]) -> str:
-    """Article blocks and the unique runs of open blocks. covered: (stream, position) of repeated substrings."""
-    out, stream, position, last = [], -1, 0, ARTICLE
+    """Article blocks and the unique runs of open blocks. covered: (block outside of the article, position) of repeats."""
+    out, stream = [], -1
     for text, kind in blocks(page):
         if kind == ARTICLE:
             out.append(text)
-            last = kind if last == ARTICLE else last
             continue
-        if stream < 0 or kind != last:
-            stream, position, last = stream + 1, 0, kind
-        words = text.split()
+        stream += 1
         if kind == OPEN:
-            unique = [w for i, w in enumerate(words, position) if not any((stream, i - k) in covered for k in range(DEPTH))]
+            words = text.split()
+            unique = [w for i, w in enumerate(words) if not any((stream, i - k) in covered for k in range(DEPTH))]
             if unique:
                 out.append(" ".join(unique))
-        position += len(words)
     return "\n".join(out)
 
 

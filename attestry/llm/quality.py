@@ -25,9 +25,9 @@ HASH_BITS = 16
 ROUNDS = 200
 EPOCHS, STEP, RIDGE = 60, 0.3, 1e-4
 THRESHOLD = 0.5
-#: A bad vote is wrong about at most so large a share of good documents, and a labeller finds at least so large a share of
-#: bad ones: bad documents are bad in different ways, so most labellers call any of them good.
-MOST_FALSE, LEAST_FOUND = 0.002, 0.1
+#: A bad vote is wrong about at most so large a share of good documents, and a labeller finds a share of bad ones between
+#: these: bad documents are bad in different ways, so most labellers call any of them good.
+MOST_FALSE, LEAST_FOUND, MOST_FOUND = 0.002, 0.1, 0.5
 _TEXT_BYTES = 8 << 20
 
 #: Labellers: a statistic with the bounds of a bad and of a good vote. Bad lies above the first and good below the second,
@@ -108,7 +108,7 @@ def weak_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS)
         chance = np.einsum("cp,plv->lcv", share, seen) + 1e-4 * np.array([[0.5, 0.3, 0.2], [0.2, 0.3, 0.5]])
         chance /= chance.sum(axis=2, keepdims=True)
         chance[:, 1, 0] = np.minimum(chance[:, 1, 0], MOST_FALSE)
-        chance[:, 0, 0] = np.maximum(chance[:, 0, 0], LEAST_FOUND)
+        chance[:, 0, 0] = np.clip(chance[:, 0, 0], LEAST_FOUND, MOST_FOUND)
         chance[:, :, 1:] *= ((1 - chance[:, :, 0]) / chance[:, :, 1:].sum(axis=2))[:, :, None]
         logs = np.log(prior)[None] + np.einsum("plv,lcv->pc", seen, np.log(chance))
         posterior = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))

@@ -298,8 +298,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         term = trie.match(r.word)[0]
         met[term][0] += r.n
         met[term][1] += r.k
-    # an unseen near miss is as likely meant as those of its term that were seen; where none was, as likely as not
-    rates = {t: (k + 1) / (n + 2) for t, (n, k) in met.items()}
+    # an unseen near miss is as likely meant as those of its term that were seen; where none was, it most likely is
+    rates = {t: (k + 1.9) / (n + 2) for t, (n, k) in met.items()}
     worth = lambda rate: max(0.0, (rate - base) / (1 - base))
     model.misspelled = {t: worth(rate) for t, rate in rates.items()}
     model.worth = {r.word: worth((r.k + 2 * rates[trie.match(r.word)[0]]) / (r.n + 2)) for r in seen}
