@@ -14,7 +14,8 @@ from attestry.sources.tables import table
 def replay(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream with the table's schema."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.names else rows
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
@@ -28,7 +29,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
 def throughput(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their values in each window and of each type."""
     by = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
-    return by.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("started"), "event_type", "n", "total")
+    return by.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("started"), "event_type", "n", "total")
 
 
 def screen(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
