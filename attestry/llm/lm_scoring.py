@@ -2,9 +2,11 @@
 
 Training texts give exact counts of tokens and a filter of token pairs. A pair that occurs c times has the level
 1 + floor(2 log2 c) and is stored in the filter at each level up to its own, so its level is read by asking level
-after level until one is missing; level q stands for 2 ** ((q - 1) / 2) occurrences. The filter has a fixed number
-of blocks of a fixed size, so what is broadcast never grows; a pair lies in one block, and a block that would get
-too full keeps its most frequent pairs. The probability of a token after another is Dirichlet-smoothed:
+after level until one is missing; level q stands for 2 ** ((q - 1) / 2) occurrences. The filter is cut into blocks by
+the pair's hash. The number of blocks follows the number of tokens and a block's size the entries counted in it, so
+every pair is kept at any size. Blocks are never gathered: the pairs of the texts to score are sent to their block,
+and the levels come back to the texts, packed by chunks of text. The probability of a token after another is
+Dirichlet-smoothed:
 
     P(w | h) = (c(h, w) + STRENGTH * P(w)) / (c(h) + STRENGTH),   P(w) = (c(w) + 1) / (N + V + 1)
 
@@ -14,25 +16,29 @@ occurrences of others are joined with the table of counts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.base import Words, chunked, cut_lineage, mix
+from attestry.llm.base import Words, chunked, cut_lineage, mix, shared_folder
 
-#: The filter: 2,048 blocks of 65,536 bits are 16 MB.
-BLOCKS = 1 << 11
-BLOCK_BITS = 1 << 16
+#: Tokens of the training texts for each block of the filter.
+BLOCK_TOKENS = 500_000
 PROBES = 4
-#: Entries (pairs times levels) that a block takes, at most: with 4 probes some 2 in 100 absent pairs seem present.
-BLOCK_ENTRIES = BLOCK_BITS // 8
+#: Bits for each entry (pairs times levels), at least: with 4 probes at most 3 in 1,000 absent pairs seem present.
+ENTRY_BITS = 16
+#: A block has 65,536 bits at least.
+LEAST_BITS = 16
 STRENGTH = 100.0
 #: Tokens whose counts are broadcast (16 bytes each).
 HEAD_TOKENS = 1 << 18
-_TEXT_BYTES = 12 << 20
+_TEXT_BYTES = 6 << 20
 _SCORE_BYTES = 6 << 20
 _MAX_LEVEL = 96
 
@@ -52,33 +58,31 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pairs(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it; the end stands before a text's first token."""
+    """A hash of 56 bits of each token with the one before it; the end stands before a text's first token."""
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
     before[starts[:-1]] = _END
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes) >> np.uint64(8)
 
 
-def _bits(pairs: np.ndarray, level: int) -> np.ndarray:
-    """The bit numbers in the whole filter of each pair at a level, a column per probe."""
-    block = pairs >> np.uint64(64 - BLOCKS.bit_length() + 1)
+def _bits(pairs: np.ndarray, level: int, size: int) -> np.ndarray:
+    """The bit numbers of each pair at a level in a block of size bits (a power of two), a column per probe."""
     x = mix(pairs + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
-    width = BLOCK_BITS.bit_length() - 1
-    own = [(x >> np.uint64(width * k)) & np.uint64(BLOCK_BITS - 1) for k in range(PROBES)]
-    return np.stack([block * np.uint64(BLOCK_BITS) + b for b in own], axis=1)
+    step = (x >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(x + np.uint64(k) * step) & np.uint64(size - 1) for k in range(PROBES)], axis=1)
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(2 * np.log2(count) + 1e-9).astype(np.int64)
 
 
-def levels(filter_bytes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """The level of each pair as the filter has it; 0 where it seems absent."""
-    out = np.zeros(len(pairs), np.int64)
+def levels(block: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The level of each pair as its block (bytes) has it; 0 where it seems absent."""
+    out = np.zeros(len(pairs), np.uint8)
     left = np.arange(len(pairs))
     for level in range(1, _MAX_LEVEL):
-        bits = _bits(pairs[left], level)
-        there = ((filter_bytes[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+        bits = _bits(pairs[left], level, 8 * len(block))
+        there = ((block[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
         left = left[there]
         if not len(left):
             break
@@ -86,6 +90,16 @@ def levels(filter_bytes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return out
 
 
+def filter_block(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bytes of a block that holds all of the distinct pairs."""
+    level = level_of(counts)
+    size = 1 << max(LEAST_BITS, int(ENTRY_BITS * level.sum() - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        bits[_bits(pairs[level >= q], q, size).ravel()] = 1
+    return np.packbits(bits, bitorder="little")
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """(token, c) of the texts(text): token is the hash, the end included."""
 
@@ -98,75 +112,133 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "token long, n long").where("n > 0").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def pair_filter(texts: DataFrame, partitions: int) -> np.ndarray:
-    """The filter's bytes. Each block is made by one task; the driver takes in BLOCKS blocks of BLOCK_BITS bits, a partition at a time."""
+def _rows_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Each value of the key with its rows; the rows come in the order of the key."""
+    rows = (dict(zip(batch.schema.names, row, strict=True)) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    return groupby(rows, lambda row: row[key])
+
+
+def _by_block(pairs: np.ndarray, blocks: int) -> np.ndarray:
+    """Where each block starts in sorted pairs, and the end. blocks is a power of two from 2."""
+    return np.searchsorted(pairs >> np.uint64(57 - blocks.bit_length()), np.arange(blocks + 1, dtype=np.uint64))
+
+
+def _written(pairs: np.ndarray) -> bytes:
+    """Sorted pairs as the steps from one to the next, all first bytes, then all second bytes and so on, as high bytes are mostly 0."""
+    return np.diff(pairs, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
+
+
+def _read(data: bytes) -> np.ndarray:
+    steps = np.zeros((len(data) // 7, 8), np.uint8)
+    steps[:, :7] = np.frombuffer(data, np.uint8).reshape(7, -1).T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _sent(pairs: np.ndarray, counts: np.ndarray, chunk: int, blocks: int) -> pa.RecordBatch:
+    """Sorted pairs of a chunk, a row for each block that has any."""
+    edges = _by_block(pairs, blocks)
+    own = np.flatnonzero(np.diff(edges))
+    spans = [slice(edges[k], edges[k + 1]) for k in own]
+    data = [_written(pairs[x]) for x in spans]
+    n = [counts[x].astype(np.int32).tobytes() for x in spans]
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([chunk] * len(own), pa.int64()), pa.array(data, pa.binary()), pa.array(n, pa.binary())], ["block", "chunk", "pairs", "n"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Chunks of the batches, numbered through all tasks."""
+    first = TaskContext.get().partitionId() << 32
+    return ((first + k, batch) for k, batch in enumerate(chunked(batches, "text", _SCORE_BYTES)))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, data) of rows: a chunk's rows as an Arrow stream."""
+    for chunk, batch in _numbered(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "data"])
+
+
+def _unpacked(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as rows:
+        return rows.read_next_batch()
+
+
+def chunk_levels(texts: DataFrame | None, chunks: DataFrame, blocks: int) -> DataFrame:
+    """(chunk, block, data): the levels of each chunk's distinct pairs that lie in a block, in order, a byte each.
+
+    texts(text), if any, and the texts of chunks that have learn are learned from. Each block of the filter is built and asked in one task and then dropped.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "text", _TEXT_BYTES):
             distinct, codes, starts = _tokens(batch)
-            pairs, n = np.unique(_pairs(distinct[codes], starts), return_counts=True)
-            block = (pairs >> np.uint64(64 - BLOCKS.bit_length() + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(pairs.view(np.int64)), pa.array(n.astype(np.int32))], ["block", "pair", "n"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_pairs, kept_counts, held = [], [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            values, at = np.unique(np.concatenate(kept_pairs), return_inverse=True)
-            return values, np.bincount(at, np.concatenate(kept_counts), len(values)).astype(np.int64)
+            yield _sent(*np.unique(_pairs(distinct[codes], starts), return_counts=True), -1, blocks)
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept_pairs.append(batch.column("pair").to_numpy(zero_copy_only=False).view(np.uint64))
-            kept_counts.append(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
-            held += batch.num_rows
-            if held > 4_000_000:
-                a, b = merged()
-                kept_pairs, kept_counts, held = [a], [b], len(a) // 2
-        if not kept_pairs:
-            return
-        pairs, counts = merged()  # sorted by hash, so by block
-        level = level_of(counts)
-        edges = np.searchsorted(pairs >> np.uint64(64 - BLOCKS.bit_length() + 1), np.arange(BLOCKS + 1, dtype=np.uint64))
-        for block in np.flatnonzero(np.diff(edges)):
-            own, high = pairs[edges[block] : edges[block + 1]], level[edges[block] : edges[block + 1]]
-            if high.sum() > BLOCK_ENTRIES:  # the most frequent first, ties by hash
-                order = np.argsort(-high, kind="stable")
-                keep = order[np.cumsum(high[order]) <= BLOCK_ENTRIES]
-                own, high = own[keep], high[keep]
-            bits = np.zeros(BLOCK_BITS, np.uint8)
-            for q in range(1, int(high.max(initial=0)) + 1):
-                bits[(_bits(own[high >= q], q) % np.uint64(BLOCK_BITS)).ravel()] = 1
-            data = np.packbits(bits, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([int(block)], pa.int32()), pa.array([data], pa.binary())], ["block", "bits"])
-
-    rows = texts.select("text").mapInArrow(emit, "block int, pair long, n int")
-    blocks = cut_lineage(rows.repartition(partitions, "block").mapInArrow(build, "block int, bits binary"))
-    whole = np.zeros((BLOCKS, BLOCK_BITS // 8), np.uint8)
-    for row in blocks.toLocalIterator():
-        whole[row.block] = np.frombuffer(row.bits, np.uint8)
-    return whole.ravel()
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                batch = _unpacked(data.as_py())
+                distinct, codes, starts = _tokens(batch)
+                pairs, at = np.unique(_pairs(distinct[codes], starts), return_inverse=True)
+                learn = np.repeat(batch.column("learn").to_numpy(zero_copy_only=False), np.diff(starts))
+                yield _sent(pairs, np.bincount(at, learn, len(pairs)), chunk, blocks)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _rows_of(batches, "block"):
+            learned, counts, asked, numbers = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [], []
+            for row in rows:
+                pairs = _read(row["pairs"])
+                n = np.frombuffer(row["n"], np.int32)
+                learned.append(pairs[n > 0])
+                counts.append(n[n > 0])
+                if row["chunk"] >= 0:
+                    asked.append(pairs)
+                    numbers.append(row["chunk"])
+            if not asked:
+                continue
+            values, at = np.unique(np.concatenate(learned), return_inverse=True)
+            own = filter_block(values, np.bincount(at, np.concatenate(counts), len(values)))
+            values, at = np.unique(np.concatenate(asked), return_inverse=True)
+            found = levels(own, values)[at]
+            ends = np.cumsum([len(x) for x in asked])
+            data = [x.tobytes() for x in np.split(found, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([block] * len(data), pa.int32()), pa.array(data, pa.binary())], ["chunk", "block", "data"])
+
+    schema = "block int, chunk long, pairs binary, n binary"
+    sent = chunks.mapInArrow(ask, schema)
+    if texts is not None:
+        sent = sent.unionByName(texts.select("text").mapInArrow(emit, schema))
+    return sent.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(answer, "chunk long, block int, data binary")
 
 
 def score(
     docs: DataFrame,
-    training: DataFrame,
+    training: DataFrame | Column,
     id_col: str = "doc_id",
     text_col: str = "text",
     strength: float = STRENGTH,
 ) -> DataFrame:
     """One row per row of docs: id, n_tokens, n_known, train_tokens, base_score, score.
 
-    training(text_col) holds the texts to learn from. A null text is an empty one, which is its end alone. Rows of
+    training(text_col) holds the texts to learn from; where they are rows of docs it is their condition, and pairs are
+    sent once for both. A null text is an empty one, which is its end alone. Rows of
     one id and text are scored once and come back as often as they came. Null ids are kept. Other columns are
     ignored. Without training texts every token is unknown (N and V are 0); an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    learned = training.select(text)
+    within = isinstance(training, Column)
+    learned = docs.where(training).select(text) if within else training.select(text)
+    learn = (F.coalesce(training, F.lit(False)) if within else F.lit(False)).alias("learn")
     counts = cut_lineage(token_counts(learned))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n), int(total.v)
-    bits = spark.sparkContext.broadcast(pair_filter(learned, max(1, -(-n // 2_000_000))))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text, learn).withColumn("text_key", F.xxhash64("text"))
+    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    rows.mapInArrow(_packed, "chunk long, data binary").write.parquet(folder)  # written, so that chunks keep their numbers
+    chunks = spark.read.schema("chunk long, data binary").parquet(folder)
+    found = chunk_levels(None if within else learned, chunks, 1 << max(1, (n // BLOCK_TOKENS).bit_length()))
     head = counts.orderBy(F.desc("c"), "token").limit(HEAD_TOKENS)
     top = head.toPandas().sort_values("token")
     known = spark.sparkContext.broadcast((top["token"].to_numpy(np.int64), top["c"].to_numpy(np.float64)))
@@ -176,10 +248,15 @@ def score(
         names = ["id", "text_key", "rare", "token", "level", "times", "tokens", "n_known", "base_score", "score"]
         types = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         tokens_of_head, counts_of_head = known.value
-        for batch in chunked(batches, "text", _SCORE_BYTES):
+        for _, group in _rows_of(batches, "chunk"):
+            batch = _unpacked(next(group)["data"])
             distinct, codes, starts = _tokens(batch)
-            hashes, texts = distinct[codes], len(starts) - 1
-            level = levels(bits.value, _pairs(hashes, starts))
+            texts = len(starts) - 1
+            pairs, of_pair = np.unique(_pairs(distinct[codes], starts), return_inverse=True)
+            own = np.frombuffer(b"".join(row["data"] for row in group), np.uint8)
+            if len(own) != len(pairs):
+                raise ValueError(f"{len(own)} levels for {len(pairs)} pairs")
+            level = own[of_pair].astype(np.int64)
             seen = np.where(level > 0, 2.0 ** ((level - 1) / 2), 0.0)
             signed = distinct.view(np.int64)
             at = np.searchsorted(tokens_of_head, signed)
@@ -202,7 +279,8 @@ def score(
                 own = (np.ones(k, bool), signed[code], each % 128, times, *np.zeros((4, k)))
                 yield pa.RecordBatch.from_arrays([ids.take(where), keys.take(where), *(pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(own, types, strict=True))], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text).withColumn("text_key", F.xxhash64("text"))
+    whole = chunks.select("chunk", F.lit(-1).alias("block"), "data").unionByName(found)
+    rows = whole.repartition(max(1, chunks.count()), "chunk").sortWithinPartitions("chunk", "block")
     schema = "id long, text_key long, rare boolean, token long, level int, times int, tokens long, n_known long, base_score double, score double"
     parts = rows.mapInArrow(run, schema)
     joined = parts.join(counts, "token", "left")

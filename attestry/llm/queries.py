@@ -35,7 +35,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = lm_scoring.score(docs, docs.where(remainder("doc_id", 7) != 2))
+    scored = lm_scoring.score(docs, remainder("doc_id", 7) != 2)
     return scored.select(F.col("id").alias("doc_id"), (remainder("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

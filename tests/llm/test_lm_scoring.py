@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from attestry.llm import lm_scoring
 from attestry.llm.lm_scoring import STRENGTH, level_of, score
@@ -41,3 +42,27 @@ def test_against_exact_counts(spark):
         assert math.isclose(r.base_score, e[2], rel_tol=1e-9)
         assert math.isclose(r.score, e[3], rel_tol=0.02)  # the filter may take an absent pair for a present one
     assert score(df.limit(0), training).count() == 0
+
+
+def test_every_pair_is_kept(spark):
+    rng = np.random.default_rng(4)
+    pairs = np.unique(rng.integers(0, 1 << 63, 300_000, dtype=np.uint64))
+    counts = rng.integers(1, 4, len(pairs))
+    block = lm_scoring.filter_block(pairs, counts)
+    assert (lm_scoring.levels(block, pairs) >= level_of(counts)).all()
+    absent = rng.integers(1 << 63, (1 << 64) - 1, 100_000, dtype=np.uint64)
+    assert (lm_scoring.levels(block, absent) > 0).mean() < 0.004
+
+
+def test_pairs_beyond_a_fixed_filter(spark):
+    """Several blocks; a learned text of pairs that come once scores as its exact counts say."""
+    keep = lm_scoring.BLOCK_TOKENS
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * 997 + k * (2 * i + 1)) % 5003}" for k in range(500))) for i in range(400)], "doc_id long, text string").repartition(5)
+    try:
+        whole = {r.id: r.score for r in score(df, df).collect()}
+        lm_scoring.BLOCK_TOKENS = 3_000
+        cut = {r.id: r.score for r in score(df, F.lit(True)).collect()}
+    finally:
+        lm_scoring.BLOCK_TOKENS = keep
+    assert len(cut) == 400
+    assert all(math.isclose(cut[i], whole[i], rel_tol=0.02) for i in whole)
