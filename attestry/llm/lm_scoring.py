@@ -8,14 +8,18 @@ every pair is kept at any size. Blocks are never gathered: the pairs of the text
 and the levels come back to the texts, packed by chunks of text. The probability of a token after another is
 Dirichlet-smoothed:
 
-    P(w | h) = (c(h, w) + STRENGTH * P(w)) / (c(h) + STRENGTH),   P(w) = (c(w) + 1) / (N + V + 1)
+    P(w | h) = (c(h, w) + STRENGTH * P(w)) / (c(h) + STRENGTH * (1 + FALSE_SHARE)),   P(w) = (c(w) + 1) / (N + V + 1)
 
-Token counts stay exact at any size: the counts of the most frequent tokens (a fixed number) are broadcast, and
-occurrences of others are joined with the table of counts.
+Levels never stand for more than was counted, and the number of probes follows the number of distinct tokens V, so that
+the pairs which only seem present weigh at most FALSE_SHARE * STRENGTH for any h. P(w | h) therefore sums to 1 at most.
+
+Token counts stay exact at any size: the counts of the most frequent tokens (at most a fixed number, by a threshold of
+their counts) are broadcast, and occurrences of others are joined with the table of counts.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
@@ -30,9 +34,12 @@ from attestry.llm.base import Words, chunked, cut_lineage, mix, shared_folder
 
 #: Tokens of the training texts for each block of the filter.
 BLOCK_TOKENS = 500_000
-PROBES = 4
-#: Bits for each entry (pairs times levels), at least: with 4 probes at most 3 in 1,000 absent pairs seem present.
-ENTRY_BITS = 16
+#: Probes, at least. A block has two bits for each probe of each entry (pairs times levels), so at most 40 in 100 of its
+#: bits are set, and each probe lets at most so many absent pairs through.
+LEAST_PROBES = 4
+PROBE_PASSES = 0.4
+#: What all pairs after one token that only seem present may weigh, as a share of STRENGTH.
+FALSE_SHARE = 0.01
 #: A block has 65,536 bits at least.
 LEAST_BITS = 16
 STRENGTH = 100.0
@@ -65,38 +72,47 @@ def _pairs(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes) >> np.uint64(8)
 
 
-def _bits(pairs: np.ndarray, level: int, size: int) -> np.ndarray:
-    """The bit numbers of each pair at a level in a block of size bits (a power of two), a column per probe."""
+def probes_for(distinct: int, strength: float = STRENGTH) -> int:
+    """Probes with which so many distinct absent tokens weigh FALSE_SHARE of the strength at most."""
+    return max(LEAST_PROBES, math.ceil(math.log(max(1.0, distinct / (FALSE_SHARE * strength))) / -math.log(PROBE_PASSES)))
+
+
+def _bits(pairs: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of each pair at a level begin in a block of size bits (a power of two), and how far each steps."""
     x = mix(pairs + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
-    step = (x >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(x + np.uint64(k) * step) & np.uint64(size - 1) for k in range(PROBES)], axis=1)
+    return x & np.uint64(size - 1), mix(x) | np.uint64(1)
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(2 * np.log2(count) + 1e-9).astype(np.int64)
 
 
-def levels(block: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def levels(block: np.ndarray, pairs: np.ndarray, probes: int) -> np.ndarray:
     """The level of each pair as its block (bytes) has it; 0 where it seems absent."""
     out = np.zeros(len(pairs), np.uint8)
-    left = np.arange(len(pairs))
+    left, mask = np.arange(len(pairs)), np.uint64(8 * len(block) - 1)
     for level in range(1, _MAX_LEVEL):
-        bits = _bits(pairs[left], level, 8 * len(block))
-        there = ((block[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-        left = left[there]
+        bits, step = _bits(pairs[left], level, 8 * len(block))
+        for _ in range(probes):
+            there = (block[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            left, bits, step = left[there], bits[there], step[there]
+            bits = (bits + step) & mask
         if not len(left):
             break
         out[left] = level
     return out
 
 
-def filter_block(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def filter_block(pairs: np.ndarray, counts: np.ndarray, probes: int) -> np.ndarray:
     """The bytes of a block that holds all of the distinct pairs."""
     level = level_of(counts)
-    size = 1 << max(LEAST_BITS, int(ENTRY_BITS * level.sum() - 1).bit_length())
+    size = 1 << max(LEAST_BITS, int(2 * probes * level.sum() - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
-        bits[_bits(pairs[level >= q], q, size).ravel()] = 1
+        at, step = _bits(pairs[level >= q], q, size)
+        for _ in range(probes):
+            bits[at] = 1
+            at = (at + step) & np.uint64(size - 1)
     return np.packbits(bits, bitorder="little")
 
 
@@ -112,6 +128,18 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "token long, n long").where("n > 0").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def head_threshold(counts: DataFrame) -> float:
+    """The least count of a power of 2 ** (1 / 4) that at most HEAD_TOKENS of the counts(c) reach."""
+    step = F.floor(4 * F.log2("c")).cast("int")
+    reached, least = 0, None
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        reached += row.n
+        if reached > HEAD_TOKENS:
+            break
+        least = row.step
+    return 2.0 ** (least / 4) * (1 - 1e-12) if least is not None else math.inf
+
+
 def _rows_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[dict]]]:
     """Each value of the key with its rows; the rows come in the order of the key."""
     rows = (dict(zip(batch.schema.names, row, strict=True)) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
@@ -164,7 +192,7 @@ def _unpacked(data: bytes) -> pa.RecordBatch:
         return rows.read_next_batch()
 
 
-def chunk_levels(texts: DataFrame | None, chunks: DataFrame, blocks: int) -> DataFrame:
+def chunk_levels(texts: DataFrame | None, chunks: DataFrame, blocks: int, probes: int) -> DataFrame:
     """(chunk, block, data): the levels of each chunk's distinct pairs that lie in a block, in order, a byte each.
 
     texts(text), if any, and the texts of chunks that have learn are learned from. Each block of the filter is built and asked in one task and then dropped.
@@ -198,9 +226,9 @@ def chunk_levels(texts: DataFrame | None, chunks: DataFrame, blocks: int) -> Dat
             if not asked:
                 continue
             values, at = np.unique(np.concatenate(learned), return_inverse=True)
-            own = filter_block(values, np.bincount(at, np.concatenate(counts), len(values)))
+            own = filter_block(values, np.bincount(at, np.concatenate(counts), len(values)), probes)
             values, at = np.unique(np.concatenate(asked), return_inverse=True)
-            found = levels(own, values)[at]
+            found = levels(own, values, probes)[at]
             ends = np.cumsum([len(x) for x in asked])
             data = [x.tobytes() for x in np.split(found, ends[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([block] * len(data), pa.int32()), pa.array(data, pa.binary())], ["chunk", "block", "data"])
@@ -238,11 +266,10 @@ def score(
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     rows.mapInArrow(_packed, "chunk long, data binary").write.parquet(folder)  # written, so that chunks keep their numbers
     chunks = spark.read.schema("chunk long, data binary").parquet(folder)
-    found = chunk_levels(None if within else learned, chunks, 1 << max(1, (n // BLOCK_TOKENS).bit_length()))
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD_TOKENS)
-    top = head.toPandas().sort_values("token")
+    found = chunk_levels(None if within else learned, chunks, 1 << max(1, (n // BLOCK_TOKENS).bit_length()), probes_for(v, strength))
+    top = counts.where(F.col("c") >= head_threshold(counts)).toPandas().sort_values("token")
     known = spark.sparkContext.broadcast((top["token"].to_numpy(np.int64), top["c"].to_numpy(np.float64)))
-    floor = float(np.log10(n + v + 1))
+    floor, least = float(np.log10(n + v + 1)), strength * (1 + FALSE_SHARE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "text_key", "rare", "token", "level", "times", "tokens", "n_known", "base_score", "score"]
@@ -267,7 +294,7 @@ def score(
             in_head, c = inside[codes], count[codes]
             base = np.log10(c + 1) - floor
             # each token comes once after another and once before another: the end comes before the first
-            value = np.log10(seen + strength * 10**base) - np.log10(c + strength)
+            value = np.log10(seen + strength * 10**base) - np.log10(c + least)
             ids, keys = batch.column("id"), batch.column("text_key")
             own = (np.zeros(texts, bool), np.arange(texts), *np.zeros((2, texts), int), np.diff(starts), *(np.bincount(row, np.where(in_head, x, 0), texts) for x in (1, base, value)))
             yield pa.RecordBatch.from_arrays([ids, keys, *(pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(own, types, strict=True))], names)
@@ -287,7 +314,7 @@ def score(
     c, is_rare = F.coalesce("c", F.lit(0)), F.col("rare")
     base = F.log10(c + 1) - floor
     seen = F.when(F.col("level") > 0, F.pow(F.lit(2.0), (F.col("level") - 1) / 2)).otherwise(0.0)
-    value = F.log10(seen + strength * F.pow(F.lit(10.0), base)) - F.log10(c + F.lit(strength))
+    value = F.log10(seen + strength * F.pow(F.lit(10.0), base)) - F.log10(c + F.lit(least))
     summed = joined.groupBy("id", "text_key").agg(
         F.sum("tokens").alias("tokens"),
         F.sum(F.when(is_rare & (c > 0), F.col("times")).otherwise(F.col("n_known"))).alias("known"),
