@@ -4,13 +4,19 @@ Text is cut into pieces (runs of letters, digits and + / _ -, and other characte
 form a chain. A piece is a candidate if it is long and mixed enough for a secret; in chains without one every piece is
 fixed to be outside, so only the others need decoding, and the field falls apart between them exactly. Pieces are
 tagged begin, inside or outside by Viterbi from their shape, the words around them and what kind of file it is.
-The field is trained on a bounded sample in which the patterns' values are the secrets.
+
+The field is trained on a bounded sample in which the patterns' values are the secrets. So that it finds what the
+patterns can't, it must not learn the patterns' words: the words and signs before a value are masked in half of the
+examples, and in as many more the value is drawn anew from another alphabet. Harmless long pieces of usual forms (ids,
+times, names of files, functions and hosts) are put into the sample's own words as examples of what is outside.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.base import Words, chunked
+from attestry.llm.base import Words, chunked, cut_lineage
 
 # The base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,11 +36,21 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "field")
 _MAY_HAVE_BASE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+# Alphabets that secrets are drawn from, what may stand before one, and harmless long pieces
+# (0 is a digit, x a hex digit, a and A letters, w and W words; other signs are themselves).
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+PREFIXES = ("", "", "", "", "key=", "auth: ", 'bearer "', "credential = '", '"pwd": "', "(", '"', "'", "sk_", "pk_live_", "ghp_", "xoxb-")
+HARMLESS = ("xxxxxxxx-xxxx-xxxx-xxxx-xxxxxxxxxxxx", "0000-00-00T00:00:00Z", "0000-00-00", "w_w_0000", "w-w-w-0.0.0", "wWWWw", "wWWWWW0", "https://w.w.com/w/00000/w-w-w-w", "w00@w0.w.com", "/w/w/w0/w_w.w", "w0000w.pdf", "W-0000-000000", "+00-000-0000000", "0000000000000000", "w_w_w_w_w_00", "vw0.00.000-w00", "WWWW_W_000", "0000x0000px")
 
-#: Texts that the field is trained on, at most: so many with a base match and so many without, whose ids hash lowest.
+#: Texts that the field is trained on, at most: so many with a base match and so many without, whose rows hash lowest.
 SAMPLE_TEXTS = 2_000
+#: Chains of these texts, of each kind, that the driver takes in at most, and the pieces of one chain that train together.
+SAMPLE_CHAINS, CHAIN_PIECES = 4_000, 64
+#: Examples with drawn values of each kind (secret and harmless).
+DRAWN = 1_500
+_SEED = 20240229
 #: Epochs and step of training (AdaGrad), and the penalty of large weights.
-EPOCHS, STEP, RIDGE = 150, 0.2, 0.02
+EPOCHS, STEP, RIDGE = 120, 0.2, 0.02
 #: An added span has at least so many characters, and the field gives it at least so much probability.
 LEAST_ADDED, LEAST_CHANCE = 12, 0.8
 #: Features that fewer pieces of the sample have are left out.
@@ -43,6 +59,8 @@ LEAST_SUPPORT = 3
 _PIECE = re.compile(r"[A-Za-z0-9+/_\-]+|[^\sA-Za-z0-9+/_\-]")
 _GLUED = re.compile(r"\S+")
 _LONG = r"[A-Za-z0-9+/_\-]{8,}"
+_LETTERS = re.compile(r"[A-Za-z][a-z]*")
+_HEX_DIGITS = set("0123456789abcdef")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -82,19 +100,31 @@ def file_features(text: str) -> list[str]:
     return [f"file.code={min(3, int(math.log2(1 + 4 * code / lines)))}", f"file.first={head if head in '{[<#-' else 'x'}"]
 
 
-def piece_features(before: list[str], pieces: list[str], i: int, after: str, file: list[str]) -> list[str]:
-    """Features of pieces[i] in its chain; before holds the words that come earlier, after the next chain's first piece."""
-    piece = pieces[i]
-    previous = pieces[i - 1] if i else "^"
-    following = pieces[i + 1] if i + 1 < len(pieces) else "$"
-    words = [p.lower() for p in pieces[:i] if len(p) > 1]
-    words = (before + words)[-2:]
-    out = ["bias", f"shape={_shape(piece)}", f"size={min(9, int(2 * math.log2(len(piece))))}", f"entropy={int(2 * _entropy(piece))}"]
-    out += [f"hex={not set(piece.lower()) - set('0123456789abcdef')}.{min(9, int(2 * math.log2(len(piece))))}", f"candidate={is_candidate(piece)}"]
-    out += [f"previous={previous if len(previous) == 1 else _shape(previous)}", f"following={following if len(following) == 1 else _shape(following)}"]
-    out += [f"word={w}" for w in words if len(w) <= 20]
-    out += [f"head={piece[:4]}" if len(piece) >= 12 else f"short={len(piece)}", f"after={after[:1]}"]
-    return out + file
+def chain_features(before: list[str], pieces: list[str], after: str, file: list[str]) -> list[list[str]]:
+    """Features of the pieces of a chain; before holds the words that come earlier, after the next chain's first piece.
+
+    The work is linear in the pieces and their letters.
+    """
+    shapes, out, words = [_shape(p) for p in pieces], [], before
+    for i, piece in enumerate(pieces):
+        previous = "^" if not i else pieces[i - 1] if len(pieces[i - 1]) == 1 else shapes[i - 1]
+        following = "$" if i + 1 == len(pieces) else pieces[i + 1] if len(pieces[i + 1]) == 1 else shapes[i + 1]
+        size = min(9, int(2 * math.log2(len(piece))))
+        digits = sum(map(piece.count, "0123456789")) / len(piece)
+        turns = sum(a.isdigit() != b.isdigit() or (b.isupper() and not a.isupper()) for a, b in zip(piece, piece[1:], strict=False)) / len(piece)
+        longest = max(map(len, _LETTERS.findall(piece)), default=0)
+        own = ["bias", f"shape={shapes[i]}", f"size={size}", f"entropy={int(2 * _entropy(piece))}.{size}", f"digits={int(5 * digits)}", f"turns={int(8 * turns)}.{len(piece) >= 16}", f"letters={min(longest, 12)}"]
+        own += [f"hex={not set(piece.lower()) - _HEX_DIGITS}.{size}", f"candidate={is_candidate(piece)}", f"joints={min(4, piece.count('-') + piece.count('_') + piece.count('/'))}"]
+        own += [f"previous={previous}", f"following={following}", *(f"word={w}" for w in words if len(w) <= 20)]
+        own += [f"head={piece[:4]}" if len(piece) >= 12 else f"short={len(piece)}", f"after={after[:1]}"]
+        out.append(own + file)
+        if len(piece) > 1:
+            words = [*words, piece.lower()][-2:]
+    return out
+
+
+#: Features that tell where a piece stands: training masks them.
+_PLACE = ("word=", "previous=", "following=", "after=", "head=")
 
 
 @dataclass
@@ -116,7 +146,7 @@ def chains(text: str) -> list[Chain]:
             file = file or file_features(text)
             after = glued[k + 1][0] if k + 1 < len(glued) else ""
             at = chunk.start()
-            out.append(Chain([(at + p.start(), at + p.end()) for p in cut], [piece_features(before, pieces, i, after, file) for i in range(len(pieces))]))
+            out.append(Chain([(at + p.start(), at + p.end()) for p in cut], chain_features(before, pieces, after, file)))
         words = [p.lower() for p in pieces if len(p) > 1]
         before = (before + words)[-2:] if words else before
     return out
@@ -238,35 +268,90 @@ def train(examples: list[tuple[Chain, list[int]]]) -> Field:
 
 def tagged(text: str) -> list[tuple[Chain, list[int]]]:
     """Chains of a text with the tags that the base patterns' values give."""
-    values = [(a, b) for _, _, _, a, b in base_spans(text)]
-    out = []
+    return with_tags(text, sorted({(a, b) for _, _, _, a, b in base_spans(text)}))
+
+
+def with_tags(text: str, values: list[tuple[int, int]]) -> list[tuple[Chain, list[int]]]:
+    """Chains of a text, tagged by where its secrets lie (in order of their starts)."""
+    out, k = [], 0
     for chain in chains(text):
         tags, within = [], None
         for start, end in chain.spans:
-            at = next((v for v in values if v[0] < end and start < v[1]), None)
+            while k < len(values) and values[k][1] <= start:
+                k += 1
+            at = values[k] if k < len(values) and values[k][0] < end else None
             tags.append(OUTSIDE if at is None else INSIDE if at == within else BEGIN)
             within = at
         out.append((chain, tags))
     return out
 
 
+def _drawn(rng: random.Random, words: list[str]) -> tuple[str, int, int]:
+    """Words of the corpus around a value drawn from some alphabet, and where the value lies."""
+    alphabet, prefix = rng.choice(ALPHABETS), rng.choice(PREFIXES)
+    value = "".join(rng.choice(alphabet) for _ in range(rng.choice((20, 24, 28, 32, 36, 40, 44, 64))))
+    glued = prefix if prefix.endswith(("_", "-")) else ""
+    head = " ".join([*rng.choices(words, k=4), prefix])
+    closing = prefix[-1] if prefix[-1:] in ("'", '"') else ")" if prefix == "(" else rng.choice(("", "", ",", ".", ";"))
+    start = len(head) - len(glued)
+    return f"{head}{value}{closing} {' '.join(rng.choices(words, k=2))}", start, len(head) + len(value)
+
+
+def _harmless(rng: random.Random, words: list[str]) -> str:
+    """Words of the corpus around a harmless long piece."""
+    plain = [w for w in (re.sub(r"\W|\d|_", "", x) for x in rng.choices(words, k=12)) if w] or ["name"]
+    made = {"0": lambda: rng.choice("0123456789"), "x": lambda: rng.choice("0123456789abcdef"), "w": lambda: rng.choice(plain).lower()[:10], "W": lambda: rng.choice(plain).capitalize()[:10]}
+    form = rng.choice(HARMLESS)
+    piece = "".join(made[c]() if c in made else c for c in form)
+    return f"{' '.join(rng.choices(words, k=4))} {rng.choice(('', '', 'id ', 'id=', 'ref: ', 'version ', 'see ', 'url=', 'commit ', chr(34)))}{piece} {' '.join(rng.choices(words, k=2))}"
+
+
+def examples_of(sampled: list[tuple[Chain, list[int]]], words: list[str]) -> list[tuple[Chain, list[int]]]:
+    """The training examples: sampled chains, the same with their places masked, and drawn values in the corpus's words."""
+    rng = random.Random(_SEED)
+    out = list(sampled)
+    masked = lambda chain: Chain(chain.spans, [[f for f in fs if not f.startswith(_PLACE)] for fs in chain.features])
+    out += [(masked(chain), tags) for chain, tags in sampled]
+    for _ in range(DRAWN if words else 0):
+        text, start, end = _drawn(rng, words)
+        found = with_tags(text, [(start, end)])
+        found += [(chain, [OUTSIDE] * len(chain.spans)) for chain in chains(_harmless(rng, words))]
+        out += [(masked(chain) if rng.random() < 0.5 else chain, tags) for chain, tags in found]
+    return out
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = SAMPLE_TEXTS) -> Field:
-    """A field trained on at most `texts` texts with base matches and as many without."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    marked = rows.withColumn("has", F.col("text").rlike(_MAY_HAVE_BASE))
-    hashed = F.xxhash64("id", "text")
-    chosen = marked.where("has").orderBy(hashed).limit(texts).unionByName(marked.where("not has").orderBy(hashed).limit(texts))
-    schema = "spans array<struct<a: int, b: int>>, features array<array<string>>, tags array<int>"
+    """A field trained on at most `texts` texts with base matches and as many without.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    First the hashes of rows are chosen, then the texts themselves are looked up where they lie.
+    """
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("row"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "text"):
-            found = [x for t in batch.column("text").to_pylist() for x in tagged(t)]
-            spans = [[{"a": a, "b": b} for a, b in c.spans] for c, _ in found]
-            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(spans, kind), pa.array([c.features for c, _ in found], pa.list_(pa.list_(pa.string()))), pa.array([t for _, t in found], pa.list_(pa.int32()))], ["spans", "features", "tags"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pc.match_substring_regex(batch.column("text"), _MAY_HAVE_BASE)], ["row", "has"])
+
+    marked = cut_lineage(rows.mapInArrow(mark, "row long, has boolean"))
+    chosen = [r.row for has in (True, False) for r in marked.where(F.col("has") == has).select("row").distinct().orderBy("row").limit(texts).collect()]
+    schema = "place long, has boolean, features array<array<string>>, tags array<int>, words array<string>"
 
-    collected = chosen.select("text").mapInArrow(run, schema).collect()
-    return train([(Chain([(s.a, s.b) for s in r.spans], r.features), r.tags) for r in collected])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, "text"):
+            found = []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = text[:2000].split()[:24]
+                found.append((row, None, [], [], [w for w in words if 2 <= len(w) <= 20 and not is_candidate(w)][:12]))
+                for k, (chain, tags) in enumerate(tagged(text)):
+                    for at in range(0, len(tags), CHAIN_PIECES):
+                        found.append((hash((row, k, at)), any(tags[at : at + CHAIN_PIECES]), chain.features[at : at + CHAIN_PIECES], tags[at : at + CHAIN_PIECES], []))
+            columns = list(zip(*found, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.list_(pa.string())), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["place", "has", "features", "tags", "words"])
+
+    found = cut_lineage(rows.join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in chosen], "row long")), "row").mapInArrow(run, schema))
+    sampled = [r for has in (True, False) for r in found.where(F.col("has") == has).orderBy("place").limit(SAMPLE_CHAINS).collect()]
+    words = [w for r in found.where("has is null").select("place", "words").orderBy("place").limit(2 * texts).collect() for w in r.words]
+    return train(examples_of([(Chain([], r.features), list(r.tags)) for r in sampled], words))
 
 
 def find(text: str, field: Field, may_have_base: bool, may_have_chain: bool) -> list[tuple[str, int, int]]:
@@ -274,10 +359,14 @@ def find(text: str, field: Field, may_have_base: bool, may_have_chain: bool) ->
     found = base_spans(text) if may_have_base else []
     out = [(kind, start, end) for start, end, kind, _, _ in found]
     if may_have_chain:
+        # base spans by start, with the furthest end so far: one of them overlaps if the last that starts before ends after
+        starts = [s for s, *_ in found]
+        ends = np.maximum.accumulate([e for _, e, *_ in found]) if found else []
         for chain in chains(text):
             for first, last, chance in field.decode(chain):
                 start, end = chain.spans[first][0], chain.spans[last][1]
-                if end - start >= LEAST_ADDED and chance >= LEAST_CHANCE and not any(s < end and start < e for s, e, *_ in found):
+                k = bisect_right(starts, end - 1)
+                if end - start >= LEAST_ADDED and chance >= LEAST_CHANCE and not (k and ends[k - 1] > start):
                     out.append(("field", start, end))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
