@@ -8,6 +8,7 @@ decreasing; a tournament tree over the bins' free room finds the first bin that
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -39,12 +40,18 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: What must hold of a tokenizer's file for merging by rank: bytes split by public_tokenizers.PATTERN, and nothing else.
+_PLAIN = {"normalizer": None, "truncation": None, "padding": None}
+_PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_PLAIN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False}
+
+
 class IdEncoder:
-    """The ids of texts by a byte-level tokenizer file.
+    """The ids of texts by a tokenizer file, as its encode(text, add_special_tokens=False) gives them.
 
-    Where the vocabulary's ids follow the order of its merges, merging by rank gives the tokenizer's own ids in a
-    quarter of the time, so tiktoken does it with the same vocabulary. Other vocabularies, and texts with very long
-    runs of white space, go through the tokenizer itself.
+    Where the file is a plain byte-level one and the vocabulary's ids follow the order of its merges, merging by rank
+    gives the tokenizer's own ids in a quarter of the time, so tiktoken does it with the same vocabulary. Other files,
+    texts that contain an added token, and texts with very long runs of white space go through the tokenizer itself.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -52,17 +59,20 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
-        model = json.loads(Path(tokenizer_path).read_text(encoding="utf-8"))["model"]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        in_order = all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(pairs))
+        file = json.loads(Path(tokenizer_path).read_text(encoding="utf-8"))
+        model, split = file["model"], file.get("pre_tokenizer") or {}
+        plain = all(file.get(k) == v for k, v in _PLAIN.items()) and all(split.get(k) == v for k, v in _PLAIN_SPLIT.items()) and all(model.get(k) == v for k, v in _PLAIN_MODEL.items())
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]] if plain else []
+        in_order = plain and all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(pairs))
         letters, size = _byte_letters(), 256 + len(pairs)
         ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if i < size} if in_order else {}
-        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == size else None
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order and len(ranks) == size else None
+        added = [re.escape(t["content"]) for t in file.get("added_tokens", ()) if t["content"]]
+        self.slow = "|".join([_LONG_SPACE, *added])
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
-        slow = pc.match_substring_regex(texts, _LONG_SPACE).to_pylist()
+        slow = pc.match_substring_regex(texts, self.slow).to_pylist()
         out = []
         for text, by_itself in zip(texts.to_pylist(), slow, strict=True):
             if self.fast and not by_itself:

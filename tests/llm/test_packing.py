@@ -7,12 +7,11 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from attestry.llm.packing import IdEncoder, first_fit_decreasing, pack
+from tests.conftest import DATA
 
 
 def plain():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_are_the_tokenizers():
@@ -24,6 +23,22 @@ def test_ids_are_the_tokenizers():
     assert all(list(a) == tokenizer.encode(t, add_special_tokens=False).ids for a, t in zip(found, texts, strict=True))
 
 
+def test_ids_of_a_whole_table(spark):
+    """Every document of a table, against the tokenizer alone."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("text").collect()]
+    found = IdEncoder(public_tokenizers.path("byte_bpe_50k.json"))(pa.array(texts))
+    wanted = plain().encode_batch(texts, add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(found, wanted, strict=True))
+
+
+def test_another_kind_of_file():
+    """A file with a normalizer and word ends isn't merged by rank."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, texts = IdEncoder(path), ["Some Words, here", "", "<|endoftext|> x"]
+    assert encode.fast is None
+    assert [x.tolist() for x in encode(pa.array(texts))] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_first_fit_decreasing_against_plain_search():
     rng = np.random.default_rng(2)
     for n in (1, 2, 7, 300):
