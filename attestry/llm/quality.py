@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from attestry.llm.base import Words, chunked
 
-#: Documents that the scorer is trained on, at most: those whose ids hash lowest.
+#: Documents that the scorer is trained on, at most: those whose rows hash lowest (repeated rows are one).
 SAMPLE_ROWS = 20_000
+#: Features of one document that train the scorer, at most (a text of very many kinds of words has more).
+SAMPLE_FEATURES = 2_000
 HASH_BITS = 16
 ROUNDS = 200
 EPOCHS, STEP, RIDGE = 60, 0.3, 1e-4
@@ -187,13 +189,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
             cuts = np.searchsorted(row[order], np.arange(1, batch.num_rows))
             lists = [np.split(x[order], cuts) for x in (feature, weight)]
             wanted = [label["".join(map(str, v))] for v in votes(values)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(lists[0]), pa.list_(pa.int64())), pa.array(list(lists[1]), pa.list_(pa.float64())), pa.array(wanted, pa.float64())], ["features", "weights", "label"])
-
-    chosen = texts.orderBy(F.xxhash64("id"), "id").limit(rows).select("text")
-    sample = chosen.mapInArrow(example, "features array<long>, weights array<double>, label double").collect()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(list(lists[0]), pa.list_(pa.int64())), pa.array(list(lists[1]), pa.list_(pa.float64())), pa.array(wanted, pa.float64())], ["row", "features", "weights", "label"])
+
+    # hashes of rows are chosen first, so that no text moves; the bound is the last of them
+    hashed = texts.select(F.xxhash64("id", "text").alias("row"))
+    last = hashed.distinct().orderBy("row").limit(rows).agg(F.max("row")).first()[0]
+    if last is None:
+        return np.zeros((1 << HASH_BITS) + 1)
+    examples = texts.withColumn("row", F.xxhash64("id", "text")).where(F.col("row") <= last).mapInArrow(example, "row long, features array<long>, weights array<double>, label double")
+    cut = [F.slice(c, 1, SAMPLE_FEATURES).alias(c) for c in ("features", "weights")]
+    sample = examples.select("row", *cut, "label").groupBy("row").agg(F.first("features").alias("features"), F.first("weights").alias("weights"), F.first("label").alias("label")).orderBy("row").collect()
     w, seen = np.zeros((1 << HASH_BITS) + 1), np.full((1 << HASH_BITS) + 1, 1e-8)
-    if not sample:
-        return w
     size = np.array([len(r.features) for r in sample])
     row, feature = np.repeat(np.arange(len(sample)), size), np.concatenate([r.features for r in sample]).astype(int)
     weight, wanted = np.concatenate([r.weights for r in sample]), np.array([r.label for r in sample])

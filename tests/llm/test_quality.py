@@ -30,3 +30,26 @@ def test_scores(spark):
     assert np.mean([found[i].keep for i in range(300)]) > 0.97
     assert np.mean([found[i].keep for i in [*range(1000, 1030), *range(2000, 2030)]]) < 0.05
     assert score(df.limit(0), learn(df.limit(0))).count() == 0
+
+
+def test_posteriors_against_brute_force():
+    """The maximisation of the table's likelihood: no step of the estimate from counted patterns differs from one over all rows."""
+    rng = np.random.default_rng(5)
+    cast = rng.choice(3, (400, len(LABELLERS)), p=(0.1, 0.3, 0.6)).astype(np.int8)
+    patterns, at, n = np.unique(cast, axis=0, return_inverse=True, return_counts=True)
+    counted, chances = weak_labels(patterns, n.astype(float), 20)
+    each, same = weak_labels(cast, np.ones(len(cast)), 20)
+    assert np.allclose(counted[at.ravel()], each) and np.allclose(chances, same)
+    prior = np.clip((counted * n).sum() / n.sum(), 0.01, 0.99)
+    for row in range(0, 400, 37):  # Bayes' rule, vote by vote
+        good, bad = prior, 1 - prior
+        for k, vote in enumerate(cast[row]):
+            good *= chances[k, 1, vote]
+            bad *= chances[k, 0, vote]
+        assert abs(good / (good + bad) - counted[at.ravel()[row]]) < 0.02
+
+
+def test_repeated_rows_and_names(spark):
+    df = spark.createDataFrame([(1, "Some words stand here. " * 9)] * 3 + [(2, "### $$$ " * 40)], "doc_id long, text string").selectExpr("*", "1 as row", "2 as label", "3 as features")
+    found = sorted((r.id, r.score) for r in score(df, learn(df)).collect())
+    assert len(found) == 4 and len({s for i, s in found if i == 1}) == 1
