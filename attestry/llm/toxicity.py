@@ -2,7 +2,8 @@
 
 The lexicon comes from labelled rows: words, and stems (written with a star) that many words begin with. Each
 distinct word of a text becomes a Levenshtein automaton which is run along the trie of the words, so misspelled terms
-are found in one walk; stems are met exactly. A hit counts less inside a quotation or after
+are found in one walk; stems are met exactly, and the words seen under them stand in the trie as well, so their
+misspellings are found too. A hit counts less inside a quotation or after
 a word of reporting, and more beside other hits, an address or an exclamation. A logistic curve over the hits, fitted
 on the labelled rows, gives the score.
 """
@@ -26,8 +27,6 @@ from attestry.llm.base import Words, chunked, cut_lineage, mix, table
 SAMPLE_ROWS = 20_000
 #: Largest chance, over all words together, that a harmless word enters the lexicon.
 FALSE_TERM_CHANCE = 0.01
-#: Words and stems considered for the lexicon, at most: the most certain ones.
-MAX_TERMS = 5_000
 STEM_LENGTHS = range(3, 9)
 #: Words on either side of a hit that its context consists of.
 WINDOW = 5
@@ -169,10 +168,11 @@ class Scorer:
         hit[list(hits)] = True
         places = np.flatnonzero(hit[words.codes])
         rows = np.searchsorted(words.starts, places, "right") - 1
-        for row in np.unique(rows).tolist():
+        each, first = np.unique(rows, return_index=True)
+        for row, own in zip(each.tolist(), np.split(places, first[1:]), strict=True) if len(each) else ():
             start, stop = int(words.starts[row]), int(words.starts[row + 1])
             tokens = words.distinct.take(pa.array(words.codes[start:stop])).to_pylist()
-            at = set((places[rows == row] - start).tolist())
+            at = set((own - start).tolist())
             scores = [hits[int(words.codes[start + i])][0] * self.context(tokens, i, at) for i in at]
             out[row] = max(scores), math.log1p(sum(scores))
         return out
@@ -236,7 +236,7 @@ def _word_rows(sample: DataFrame) -> DataFrame:
             distinct, labels = [forms(w) for w in words.distinct.to_pylist()], batch.column("label").to_pylist()
             for row, label in enumerate(labels):
                 codes = np.unique(words.codes[words.starts[row] : words.starts[row + 1]])
-                own = {f for c in codes for f in distinct[c] if 3 <= len(f) <= 30}
+                own = {f for c in codes for f in distinct[c] if len(f) >= 3}
                 own = sorted(own | {f"{f[:n]}*" for f in own for n in STEM_LENGTHS if n <= len(f)})
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())], ["word", "label"])
 
@@ -246,7 +246,8 @@ def _word_rows(sample: DataFrame) -> DataFrame:
 def choose_terms(likely: list[tuple[str, int, int]], base: float, tried: int) -> list[str]:
     """The lexicon from (word or stem, texts, toxic texts): what chance doesn't explain, the most certain first.
 
-    A stem must be more than one of its words, and neither a word nor a stem is taken beside a stem that covers it.
+    A stem must be more than one of its words, and no stem is taken beside a stem that covers it. Likely words under
+    a chosen stem are taken with it, for their misspellings.
     """
     words = {w: k for w, _, k in likely if w[-1] != "*"}
     widest: dict[str, int] = {}
@@ -266,7 +267,7 @@ def choose_terms(likely: list[tuple[str, int, int]], base: float, tried: int) ->
                 continue
             stems[bare] = k
         chosen.append(word)
-    return sorted(w for w in chosen if w[-1] == "*" or not any(w[:n] in stems for n in STEM_LENGTHS))
+    return sorted({*chosen, *(w for w in words if any(w[:n] in stems for n in STEM_LENGTHS))})
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
@@ -278,7 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     base = size[1] / size[0]
     counts = _word_rows(sample).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
     vocabulary = counts.count()
-    likely = counts.where("k >= 3 and 2 * k > n").orderBy(F.desc(F.col("k") * F.col("k") / F.col("n")), "word").limit(MAX_TERMS).collect()
+    likely = counts.where("k >= 3 and 2 * k > n").collect()  # words of a bounded sample
     terms = choose_terms([(r.word, r.n, r.k) for r in likely], base, vocabulary)
     model = Model(terms)
     if not terms:
@@ -292,7 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             keep = [bool((m := trie.match(w)) and m[1]) for w in batch.column("word").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    seen = near.select("word", "n", "k").mapInArrow(variants, "word string, n long, k long").orderBy("word").limit(MAX_TERMS * 20).collect()
+    seen = near.select("word", "n", "k").mapInArrow(variants, "word string, n long, k long").collect()
     met = {t: [0, 0] for t in terms if t[-1] != "*"}
     for r in seen:
         term = trie.match(r.word)[0]
@@ -300,7 +301,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         met[term][1] += r.k
     # an unseen near miss is as likely meant as those of its term that were seen; where none was, it most likely is
     rates = {t: (k + 1.9) / (n + 2) for t, (n, k) in met.items()}
-    worth = lambda rate: max(0.0, (rate - base) / (1 - base))
+    # what is met in harmless texts more often than in toxic ones is another word, not a misspelling
+    worth = lambda rate: (rate - base) / (1 - base) if rate >= 0.5 else 0.0
     model.misspelled = {t: worth(rate) for t, rate in rates.items()}
     model.worth = {r.word: worth((r.k + 2 * rates[trie.match(r.word)[0]]) / (r.n + 2)) for r in seen}
     fitted = features(sample, model, "id", "text", keep=("label",)).select("strongest", "total", "label").toPandas()
@@ -337,7 +339,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text isn't predicted toxic, with the columns of docs."""
+    """The rows of docs whose text isn't predicted toxic, with the columns of docs, whatever their names.
+
+    A null or empty text has no hits and stays, as far as the model's intercept is below THRESHOLD; rows that are
+    repeated and rows with null ids are judged each; an empty table gives an empty table.
+    """
     a, b, c = (float(w) for w in model.weights)
     schema = docs.schema
 

@@ -58,3 +58,23 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in reject_toxic(extra, model).collect()} == {2, 3}
     assert score(extra.limit(0), model).count() == 0
     assert learn(docs, marked.limit(0)) == Model()
+
+
+def test_words_under_a_stem_are_met_misspelled(spark):
+    """Terms that share a stem: the stem meets all of them, and the trie their misspellings."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    forms_of = [f"zquarb{e}" for e in ("ling", "led", "ler", "lers", "lish", "lier")]
+    rows, labels = [], []
+    for i in range(1200):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(5, 60))]
+        if i % 5 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(forms_of))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(t.endswith("*") for t in model.terms) and {*forms_of} & {*model.terms}
+    texts = ["ba zqarbling ba", "ba zquuarblers ba", "ba zwuarbled ba", "ba zquarbel ba", "ba be bi"]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    found = sorted((r.id, r.predicted) for r in score(asked, model).collect())
+    assert found == [(0, 1), (0, 1), (1, 1), (2, 1), (3, 1), (4, 0)]
