@@ -1,11 +1,17 @@
-"""Main text of web pages: markup first, then a suffix array of each host for what markup leaves open.
-
-A page is cut into blocks. Blocks of its article are content. Blocks in menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are not. The rest is open, and the host decides: the token streams of all blocks
-outside of articles are put together, and their suffixes are ranked by their first DEPTH tokens. A run of equal
-ranks holds the suffixes that share these tokens, so a run with two pages is a repeated substring, and the tokens
-that repeated substrings cover are all those which lie in any repeated substring of DEPTH or more tokens. Covered
-tokens of open blocks are boilerplate, the unique runs between them stay.
+"""Main text of web pages: a suffix array of each host finds what its pages repeat, markup tells what blocks are.
+
+A page is cut into blocks. Blocks in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are
+boilerplate by their markup. The others belong to an article or are open. The token streams of all blocks of a page, of
+whatever kind, are put together, and those of a host make one suffix array. Suffixes that share LEAST or more tokens
+with another page's are long repeats, and the tokens they share are covered. Covered tokens of open blocks are
+boilerplate; those of articles are if half of the host's pages repeat them, as articles may quote each other. A repeat
+may go on over the end of a block: of a block that it doesn't cover wholly, it takes LEAST tokens or nothing.
+What stays are the unique runs. A page that would lose most of its text is a copy of another page, and keeps it.
+
+The array is built in shuffles, and only where repeats are: a repeat of LEAST tokens holds WINDOW runs of DEPTH tokens, of
+which that with the smallest hash, the anchor, is the same wherever the repeat stands. Anchors that one page alone
+has are sorted out; the suffixes that begin up to WINDOW tokens before the others are sorted by host and tokens, those
+of equal beginning once, and each is compared with its neighbours.
 """
 
 from __future__ import annotations
@@ -14,17 +20,25 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.base import chunked, cut_lineage
-
-#: Tokens that a substring must repeat on distinct pages to be boilerplate.
-DEPTH = 5
-#: A side of at most so many rows is broadcast; a larger one is joined by a shuffle.
+from attestry.llm.base import chunked, cut_lineage, mix
+
+#: Tokens of a run whose hash makes an anchor, runs of which one is an anchor, and what follows: the least length of a repeat.
+DEPTH, WINDOW = 4, 6
+LEAST = DEPTH + WINDOW - 1
+#: Tokens of a suffix that are compared. Longer repeats are covered by the suffixes that begin within them.
+COMPARED = 24
+#: An article's repeats are boilerplate if so many pages have them, and so large a share of the host's pages.
+ARTICLE_PAGES, ARTICLE_SHARE = 5, 0.5
+#: The share of a page's text that boilerplate is at most; a page with more of it is a copy.
+MOST_REMOVED = 0.8
+#: A side of at most so many keys or spans (some 16 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 # Kinds of elements.
@@ -81,8 +95,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
     A page without an article takes its main element for it.
     """
-    # open elements: name, in boilerplate, in an article, in main
+    # open elements: name, in boilerplate, in an article, in main; where those of a name stand, and the block elements
     stack: list[tuple[str, bool, bool, bool]] = []
+    of_name: dict[str, list[int]] = {}
+    of_block: list[int] = []
     drop = article = main = False
     found: list[tuple[str, bool, bool, bool]] = []
     buffer: list[str] = []
@@ -97,7 +113,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
 
     def close(depth: int) -> None:
         nonlocal drop, article, main
-        del stack[depth:]
+        while len(stack) > depth:
+            name = stack.pop()[0]
+            of_name[name].pop()
+            if name in BLOCK:
+                of_block.pop()
         _, drop, article, main = stack[-1] if stack else ("", False, False, False)
 
     while at < size:
@@ -118,11 +138,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if not name:
             continue
         if token["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if name in BLOCK:
                 flush()
-            if depth is not None:
-                close(depth)
+            if of_name.get(name):
+                close(of_name[name][-1])
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
@@ -139,9 +158,8 @@ def blocks(page: str) -> list[tuple[str, int]]:
             flush()
             while stack and stack[-1][0] in CLOSED_BY and name in CLOSED_BY[stack[-1][0]]:
                 close(len(stack) - 1)
-            inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-            if inner is not None and stack[inner][0] == "p":  # a paragraph with open inline elements ends as well
-                close(inner)
+            if of_block and stack[of_block[-1]][0] == "p":  # a paragraph with open inline elements ends as well
+                close(of_block[-1])
         if token["rest"].endswith("/") and name not in BLOCK:
             continue
         attributes = _attributes(token["rest"]) if len(token["rest"]) > 1 else {}
@@ -149,6 +167,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if dropped and not drop:
             flush()
         inside = article or name == "article" or attributes.get("role") == "article" or "articlebody" in attributes.get("itemprop", "").lower()
+        of_name.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            of_block.append(len(stack))
         stack.append((name, dropped, inside, main or name == "main" or attributes.get("role") == "main"))
         _, drop, article, main = stack[-1]
     flush()
@@ -157,16 +178,26 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return [(t, BOILERPLATE if d else ARTICLE if (a and by_article) or (m and by_main) else BOILERPLATE if by_article or by_main else OPEN) for t, d, a, m in found]
 
 
-def _depths(tokens: list[str], host: str) -> list[int]:
-    """The rank of each suffix of a block: a hash of the host and the first DEPTH tokens (of a shorter block, all)."""
-    digest = xxhash.xxh64_intdigest
-    ranks = (digest("\x00".join((host, *tokens[i : i + DEPTH]))) for i in range(max(1, len(tokens) - DEPTH + 1)))
-    return [r - (1 << 64) if r >> 63 else r for r in ranks]
+def stream(found: list[tuple[str, int]]) -> np.ndarray:
+    """A code of each token (in lower case) of the blocks of a page, in order, with a 0 after each block."""
+    digest, codes = xxhash.xxh32_intdigest, []
+    for text, _ in found:
+        codes += [digest(w) | 1 for w in text.lower().split()]
+        codes.append(0)
+    return np.array(codes, np.uint32)
 
 
-def _streams(found: list[tuple[str, int]]) -> list[tuple[int, list[str]]]:
-    """The kind and tokens of each block outside of the article. A repeated substring doesn't cross blocks."""
-    return [(kind, text.lower().split()) for text, kind in found if kind != ARTICLE]
+def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a stream's anchors, and the hashes of their runs."""
+    if len(codes) < LEAST:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    runs = np.zeros(len(codes) - DEPTH + 1, np.uint64)
+    for k in range(DEPTH):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(runs)]
+    runs = mix(runs)
+    least = np.lib.stride_tricks.sliding_window_view(runs, WINDOW).argmin(axis=1)
+    places = np.unique(least + np.arange(len(least)))
+    return places, runs[places]
 
 
 _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -178,68 +209,157 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), text.alias("html"), F.xxhash64(text).alias("page_key"))
 
 
-def _suffixes(rows: DataFrame) -> DataFrame:
-    """(rank, id, page_key, stream, pos, open) for each suffix of the streams outside of articles."""
+def _anchored(rows: DataFrame, context: bool) -> DataFrame:
+    """(anchor, page) of each page's anchors; with context also id, page_key, host, pos, before and tokens.
+
+    anchor is a hash of the host and the run, page one of the stream, so pages of the same tokens are one. tokens (four
+    bytes each, in an order that sorts) begin at pos, `before` tokens ahead of the anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "html"):
-            ranks, of, streams, places, is_open = [], [], [], [], []
+            keys, pages, of, starts, befores, tokens = [], [], [], [], [], []
             for row, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
-                for stream, (kind, tokens) in enumerate(_streams(blocks(page))):
-                    own = _depths(tokens, host)
-                    ranks += own
-                    of += [row] * len(own)
-                    streams += [stream] * len(own)
-                    places += range(len(own))
-                    is_open += [kind == OPEN] * len(own)
-            where = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ranks, pa.int64()), batch.column("id").take(where), batch.column("page_key").take(where), pa.array(streams, pa.int32()), pa.array(places, pa.int32()), pa.array(is_open, pa.bool_())],
-                ["rank", "id", "page_key", "stream", "pos", "open"],
-            )
-
-    return rows.select("id", "host", "html", "page_key").mapInArrow(run, "rank long, id long, page_key long, stream int, pos int, open boolean")
-
-
-def page_text(page: str, covered: set[tuple[int, int]]) -> str:
-    """Article blocks and the unique runs of open blocks. covered: (block outside of the article, position) of repeats."""
-    out, stream = [], -1
-    for text, kind in blocks(page):
-        if kind == ARTICLE:
-            out.append(text)
+                codes = stream(blocks(page))
+                places, runs = anchors(codes)
+                own = mix(runs + np.uint64(xxhash.xxh64_intdigest(host))).view(np.int64)
+                if not context:
+                    own = np.unique(own)
+                keys.append(own)
+                pages.append(np.full(len(own), np.uint64(xxhash.xxh64_intdigest(codes.tobytes()))).view(np.int64))
+                if context:
+                    data = codes.astype(">u4").tobytes()
+                    begin = np.maximum(places - WINDOW + 1, 0)
+                    of += [row] * len(places)
+                    starts.append(begin)
+                    befores.append(places - begin)
+                    tokens += [data[4 * b : 4 * (p + COMPARED)] for b, p in zip(begin.tolist(), places.tolist(), strict=True)]
+            flat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.empty(0, t))
+            columns, names = [flat(keys, np.int64), flat(pages, np.int64)], ["anchor", "page"]
+            if context:
+                where = pa.array(of, pa.int64())
+                columns += [*(batch.column(c).take(where) for c in ("id", "page_key", "host")), flat(starts, np.int32), flat(befores, np.int32), pa.array(tokens, pa.binary())]
+                names += ["id", "page_key", "host", "pos", "before", "tokens"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "anchor long, page long" + (", id long, page_key long, host string, pos int, before int, tokens binary" if context else "")
+    return rows.select("id", "host", "html", "page_key").mapInArrow(run, schema)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Tokens that two suffixes begin with in common."""
+    n = min(len(a), len(b)) // 4
+    x, y = np.frombuffer(a, np.uint32, n), np.frombuffer(b, np.uint32, n)
+    differ = np.flatnonzero(x != y)
+    return int(differ[0]) if len(differ) else n
+
+
+def _neighbours(suffixes: DataFrame) -> DataFrame:
+    """(host, suffix, pages, length) of suffixes(host, suffix, first, last, pages), sorted by host and suffix.
+
+    length is how many tokens a suffix has in common with a neighbour of another page, LEAST at least: the suffixes here
+    all share so many with another page's. first and last are the smallest and largest page that has the suffix.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # the row before, and its length so far
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("host", "suffix", "first", "last", "pages")), strict=True):
+                length = LEAST if row[2] == row[3] else len(row[1]) // 4
+                if held is not None:
+                    before, least = held
+                    if before[0] == row[0] and not before[2] == before[3] == row[2] == row[3]:
+                        shared = _common(before[1], row[1])
+                        length, least = max(length, shared), max(least, shared)
+                    out.append((before[0], before[1], before[4], least))
+                held = row, length
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int32()))], ["host", "suffix", "pages", "length"])
+        if held is not None:
+            row, length = held
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.binary()), pa.array([row[4]], pa.int64()), pa.array([length], pa.int32())], ["host", "suffix", "pages", "length"])
+
+    return suffixes.select("host", "suffix", "first", "last", "pages").mapInArrow(run, "host string, suffix binary, pages long, length int")
+
+
+def _checked(small: DataFrame, size=None) -> DataFrame:
+    """small, to be broadcast if it has few rows, or few entries where size counts them."""
+    if size is None:
+        few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    else:
+        few = small.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    return F.broadcast(small) if few else small
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """(id, page_key, spans) of pages with long repeats: spans holds pos, length and pages of each, and how many the host has."""
+    shared = cut_lineage(_anchored(rows, False).groupBy("anchor").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first <> last").select("anchor"))
+    if shared.isEmpty():
+        return rows.sparkSession.createDataFrame([], "id long, page_key long, spans array<struct<pos: int, length: int, pages: long, of: long>>")
+    around = cut_lineage(_anchored(rows, True).join(_checked(shared), "anchor", "left_semi"))
+    begun = around.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("before"))))
+    suffix = F.expr(f"substring(tokens, 4 * k + 1, {4 * COMPARED})").alias("suffix")
+    suffixes = begun.select("host", "page", "id", "page_key", (F.col("pos") + F.col("k")).alias("pos"), suffix).where(F.length("suffix") >= 4 * LEAST).distinct()
+    suffixes = cut_lineage(suffixes.withColumn("begin", F.expr(f"substring(suffix, 1, {4 * LEAST})")))
+    long = suffixes.groupBy("host", "begin", "page").agg(F.lit(1)).groupBy("host", "begin").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.count("*").alias("pages"))
+    long = cut_lineage(long.where("low < high").select("host", "begin", "pages"))
+    each = suffixes.groupBy("host", "begin", "suffix").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    array = each.join(long, ["host", "begin"]).repartition("host", "begin").sortWithinPartitions("host", "suffix")
+    lengths = _neighbours(array)
+    size = rows.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    found = suffixes.join(lengths, ["host", "suffix"]).join(size, "host")
+    return found.groupBy("id", "page_key").agg(F.collect_list(F.struct("pos", "length", "pages", "of")).alias("spans"))
+
+
+def long_runs(covered: np.ndarray) -> np.ndarray:
+    """covered without its runs of fewer than LEAST, unless all is covered."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], covered, [0]))))
+    out = covered.copy()
+    for start, stop in edges.reshape(-1, 2).tolist():
+        if stop - start < LEAST and stop - start < len(covered):
+            out[start:stop] = False
+    return out
+
+
+def page_text(page: str, spans: list[tuple[int, int, int, int]]) -> str:
+    """The blocks of a page without boilerplate. spans: where repeats begin, their length, and the pages that have them of all the host's."""
+    found = blocks(page)
+    size = sum(len(text.split()) + 1 for text, _ in found) if spans else 0
+    marks = np.zeros((2, size + 1), np.int32)
+    for pos, length, pages, of in spans:
+        for row in (0, 1) if pages >= max(ARTICLE_PAGES, ARTICLE_SHARE * of) else (0,):
+            marks[row, pos] += 1
+            marks[row, pos + length] -= 1
+    covered = {OPEN: np.cumsum(marks[0]) > 0, ARTICLE: np.cumsum(marks[1]) > 0}
+    kept, at, words_of, left = [], 0, 0, 0
+    for text, kind in found:
+        if kind == BOILERPLATE:
+            at += len(text.split()) + 1 if spans else 0
             continue
-        stream += 1
-        if kind == OPEN:
-            words = text.split()
-            unique = [w for i, w in enumerate(words) if not any((stream, i - k) in covered for k in range(DEPTH))]
-            if unique:
-                out.append(" ".join(unique))
-    return "\n".join(out)
+        words = text.split()
+        gone = long_runs(covered[kind][at : at + len(words)]) if spans else np.zeros(len(words), bool)
+        kept.append((text, text if not gone.any() else " ".join(w for w, g in zip(words, gone, strict=True) if not g)))
+        at, words_of, left = at + len(words) + 1, words_of + len(words), left + len(words) - int(gone.sum())
+    copy = left < (1 - MOST_REMOVED) * words_of
+    return "\n".join(filter(None, (whole if copy else rest for whole, rest in kept)))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for each row: blocks of main text joined by a line feed, and the code points.
 
-    A null or empty page, and one without main text, has the empty text. A null url is a host of its own. Rows of one
-    id and html come back each, with one text; null ids too. Other columns are ignored; an empty table gives none.
+    A null or empty page, and one without main text, has the empty text. Null urls, and urls without a host, are one host
+    of their own. Rows of one id and html come back each, with one text; null ids too. Pages of the same tokens count as
+    one page for repeats. Other columns are ignored; an empty table gives none.
     """
     rows = _rows(pages, id_col, url_col, html_col)
-    suffixes = _suffixes(rows)
-    page = F.xxhash64("id", "page_key")
-    runs = suffixes.groupBy("rank").agg(F.min(page).alias("first"), F.max(page).alias("last"), F.max("open").alias("open"))
-    repeated = cut_lineage(runs.where("first <> last and open").select("rank"))
-    if repeated.isEmpty():
-        repeated, suffixes = repeated.limit(0), suffixes.limit(0)
-    covered = suffixes.where("open").join(repeated, "rank", "left_semi").groupBy("id", "page_key").agg(F.collect_set(F.struct("stream", "pos")).alias("covered"))
-    covered = cut_lineage(covered.select(F.col("id").alias("id2"), F.col("page_key").alias("key2"), "covered"))
-    small = F.broadcast(covered) if covered.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else covered
-    joined = rows.join(small, F.col("id").eqNullSafe(F.col("id2")) & (F.col("page_key") == F.col("key2")), "left").select("id", "url", "html", "covered")
+    covered = cut_lineage(repeats(rows).select(F.col("id").alias("id2"), F.col("page_key").alias("key2"), "spans"))
+    small = _checked(covered, F.size("spans"))
+    joined = rows.join(small, F.col("id").eqNullSafe(F.col("id2")) & (F.col("page_key") == F.col("key2")), "left").select("id", "url", "html", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "html"):
-            marked = [{(c["stream"], c["pos"]) for c in x or ()} for x in batch.column("covered").to_pylist()]
+            marked = [[(c["pos"], c["length"], c["pages"], c["of"]) for c in x or ()] for x in batch.column("spans").to_pylist()]
             texts = pa.array([page_text(h, c) for h, c in zip(batch.column("html").to_pylist(), marked, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), texts, pc.utf8_length(texts).cast(pa.int64())], ["id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "id long, url string, text string, n_chars long")
-
