@@ -6,7 +6,10 @@ exceeds its threshold, which is set so that FILTERS_MET exceed it (with one thre
 no filter: half of the links of a test table were lost). They are list-decoded: the k best sums of two halves lie among
 the k best of either half. Vectors which share a filter are candidates; a sketch of signs sorts out distant ones before
 vectors are moved, and the cosine in double precision decides. The number of filters follows from the number of vectors.
-Of 3,000 random pairs at cosine 0.9 exactly, 99.9 in 100 share a filter among 50,000 vectors, and 98.7 among a million.
+
+Of 3,000 random pairs at cosine 0.9 exactly, 99.9 in 100 share a filter of one code among 50,000 vectors, and 98.7 among
+a million. Several codes with rotations of their own, each with all these filters, leave less: their number grows with
+the vectors, so that by these figures about one pair in a million at cosine 0.9 exactly shares none, and closer pairs less.
 """
 
 from __future__ import annotations
@@ -57,11 +60,16 @@ def code_words(vectors: int, cosine: float) -> int:
     return max(8, math.ceil(math.sqrt(EXPECTED_SHARED / _both(t, cosine))))
 
 
+def codes_for(vectors: int) -> int:
+    """How many codes so many vectors need."""
+    return 2 + (vectors > 50_000) + (vectors > 2_000_000) + (vectors > 100_000_000)
+
+
 class Filters:
-    """The filters for vectors of one length."""
+    """The filters of one code for vectors of one length."""
 
-    def __init__(self, dims: int, words: int):
-        rng = np.random.default_rng([_SEED, dims])
+    def __init__(self, dims: int, words: int, code: int = 0):
+        rng = np.random.default_rng([_SEED, dims, code])
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
         self.half, self.words = max(1, dims // 2), words
         self.books = []
@@ -94,19 +102,21 @@ def _unit(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _met(classes: DataFrame, words: int) -> DataFrame:
+def _met(classes: DataFrame, words: int, codes: int) -> DataFrame:
     """(rep, dims, sketch, filters) of classes(rep, vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Filters] = {}
+        made: dict[int, list[Filters]] = {}
         for batch in batches:
             rep, lists = batch.column("rep").to_numpy(zero_copy_only=False), batch.column("vector")
             for rows, unit in _unit(lists):
                 dims = unit.shape[1]
-                filters = made.setdefault(dims, None) or Filters(dims, words)
-                made[dims] = filters
+                if dims not in made:
+                    made[dims] = [Filters(dims, words, code) for code in range(codes)]
                 for at in range(0, len(rows), 2048):
-                    keys, sketch = filters.keys(unit[at : at + 2048])
+                    each = [f.keys(unit[at : at + 2048]) for f in made[dims]]
+                    keys = np.concatenate([own + code * words * words for code, (own, _) in enumerate(each)], axis=1)
+                    sketch = each[0][1]
                     part = rows[at : at + 2048]
                     yield pa.RecordBatch.from_arrays([pa.array(rep[part]), pa.array([dims] * len(part), pa.int32()), pa.array(sketch), pa.array(list(keys), pa.list_(pa.int64()))], ["rep", "dims", "sketch", "filters"])
 
@@ -206,7 +216,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     marked = wide.withColumn("usable", F.coalesce(usable, F.lit(False)))
     good = marked.where("usable").select("id", "vector")
     classes = cut_lineage(good.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    met = cut_lineage(_met(classes, code_words(max(2, classes.count()), cosine)))
+    count = classes.count()
+    met = cut_lineage(_met(classes, code_words(max(2, count), cosine), codes_for(count)))
     # vectors of another length have filters of their own
     keys = met.select("rep", "sketch", F.explode("filters").alias("filter"), "dims").withColumn("key", F.shiftleft(F.col("dims").cast("long"), 48).bitwiseOR(F.col("filter"))).select("rep", "sketch", "key")
     other = keys.select(F.col("rep").alias("rep2"), F.col("sketch").alias("sketch2"), F.col("key").alias("key2"))
