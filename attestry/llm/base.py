@@ -52,6 +52,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Keys that hold more rows than this, and more than one in HOT_KEYS of all, are joined by broadcast; HOT_KEYS bounds how many.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with small(key, n, ...), a row for each key, where n says how many of all `total` rows have it.
+
+    Rows of hot keys stay where they are; the others meet by a shuffle, so that no task holds a hot key. There are at
+    most HOT_KEYS hot keys, as each has more than a HOT_KEYS-th of all rows. n isn't in the result.
+    """
+    hot = F.broadcast(small.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).drop("n"))
+    cold = small.where(F.col("n") <= max(HOT_ROWS, total // HOT_KEYS)).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def remainder(id_column: str | Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column

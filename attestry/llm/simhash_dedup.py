@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.base import chunked, cut_lineage
+from attestry.llm.base import chunked, cut_lineage, join_hot, unused
 from attestry.llm.graph import components
 
 #: Generator polynomial of the binary Golay code of length 23 and distance 7 (a fixed value).
@@ -29,6 +29,8 @@ GOLAY_POLYNOMIAL = 0b101011100011
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _BIT_CHUNK = 1 << 16
+#: A side of at most so many rows (some 30 bytes each) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def word_shingles(text: bytes, size: int) -> list[bytes]:
@@ -132,14 +134,43 @@ def linked(fps: DataFrame) -> DataFrame:
     return met.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b").distinct()
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """rows(id, fp, ...) with component, the smallest id of a group."""
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(linked(classes))
-    named = classes.join(found, classes.fp == found.node).groupBy("component").agg(F.min("least").alias("name"), F.min("fp").alias("grp"))
-    renamed = found.join(named, "component").select(F.col("node").alias("fp"), "name", "grp")
-    names = classes.join(renamed, "fp", "left").select("fp", F.coalesce("name", "least").alias("component"), F.coalesce("grp", "fp").alias("grp"))
-    return rows.join(names, "fp")
+def shingle_hashes(texts: DataFrame, size: int) -> DataFrame:
+    """(fp, shingles) of texts(fp, text): the distinct hashes of a text's shingles, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in chunked(batches, "text"):
+            own = [np.unique(np.fromiter((digest(s, SEED) for s in word_shingles(t, size)), np.uint64)).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(own, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return texts.mapInArrow(run, "fp long, shingles array<long>")
+
+
+def verified(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of edges(a, b) whose texts' shingles have a Jaccard similarity of `least`; classes(fp, any) names a row of each fp."""
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", "any.*")
+    wanted = cut_lineage(wanted)
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    texts = rows.join(wanted, rows.id.eqNullSafe(wanted.none_or_id) & (rows.key == wanted.text_key)).select("fp", "text").dropDuplicates(["fp"])
+    sets = cut_lineage(shingle_hashes(texts, size))
+    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _grouped(rows: DataFrame, check=None) -> DataFrame:
+    """rows(id, text_key, fp) with component, the smallest id of a group, and grp, its smallest fp. check filters the edges."""
+    first = F.struct(F.col("id").alias("none_or_id"), "text_key")
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min(first).alias("any"), F.count("*").alias("n")))
+    edges = linked(classes)
+    found = cut_lineage(components(check(cut_lineage(edges), classes) if check else edges))
+    named = classes.join(found, classes.fp == found.node).groupBy("component").agg(F.min("least").alias("name"), F.min("fp").alias("grp"), F.count("*").alias("n"))
+    renamed = join_hot(found, named, "component", found.count()).select(F.col("node").alias("fp"), "name", "grp")
+    names = classes.join(renamed, "fp", "left").select("fp", "n", F.coalesce("name", "least").alias("component"), F.coalesce("grp", "fp").alias("grp"))
+    return join_hot(rows, names, "fp", rows.count())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -152,16 +183,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _grouped(cut_lineage(fingerprints(docs, id_col, text_col, size))).select("id", "fp", "component")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """One row of docs of each group of near duplicates, with its columns: that with the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of docs of each group of near duplicates, with its columns (of any names): that with the smallest id.
 
-    Null ids come last, ties go to the smaller hash of the text, and of rows repeated entirely one stays.
+    Rows whose fingerprints of five-word shingles are equal, or differ in at most two bits while their shingles are 0.8
+    similar, are near duplicates. Null texts count as empty. Null ids come last, ties go to the smaller hash of the text,
+    and of rows repeated entirely one stays. An empty table gives an empty table.
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, size))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
-    first = cut_lineage(_grouped(rows).groupBy("grp").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    chosen = first.select(F.col("first.id").alias("__id"), F.col("first.text_key").alias("__key"))
-    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
-    repeated = rows.groupBy("id", "text_key").count().where("count > 1").join(chosen, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
+    check = lambda edges, classes: verified(edges, docs, id_col, text_col, classes, size, least)
+    first = cut_lineage(_grouped(rows, check).groupBy("grp").agg(F.min(place).alias("first")))
+    names = [unused(docs, n) for n in ("first_id", "first_key", "text_hash")]
+    chosen = first.select(F.col("first.id"), F.col("first.text_key")).toDF(*names[:2])
+    marked = docs.withColumn(names[2], F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = marked.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col(names[0])) & (F.col(names[2]) == F.col(names[1])), "left_semi").drop(names[2])
+    times = rows.groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    return kept if times.isEmpty() else kept.dropDuplicates([id_col, text_col])

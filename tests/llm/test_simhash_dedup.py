@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from attestry.llm.simhash_dedup import near_duplicates
+from attestry.llm.simhash_dedup import keep_first, near_duplicates, simhash
 
 
 def brute(rows):
@@ -43,3 +43,41 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (2, "d")], "doc_id long, text string")
     assert {(r.id, r.component) for r in near_duplicates(df).collect()} == {(None, 3), (3, 3), (2, 2)}
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_first_against_brute_force(spark):
+    """One row of each group: five-word shingles, two bits, and a similarity of 0.8; ties, repeated rows and clashing names."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for i in range(40):
+        text = [rng.choice(words) for _ in range(rng.choice([1, 3, 30, 150, 600]))]
+        rows.append((i, " ".join(text)))
+        for _ in range(rng.randrange(4)):
+            text = list(text)
+            if rng.random() < 0.7:
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((100 + len(rows), " ".join(text)))
+    rows += [(900, None), (901, ""), (None, rows[0][1]), (902, "x y"), (902, "x y"), (902, "y x"), (903, "long words here " * 20000)]
+    clash = ["1 as fp", "2 as first_id", "3 as __id", "4 as __key", "5 as text_hash", "6 as grp", "7 as a"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *clash)
+    shingles = []
+    for _, text in rows:
+        own = (text or "").split()
+        shingles.append({" ".join(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set())
+    prints = [simhash((t or "").encode(), 5) for _, t in rows]
+    name = list(range(len(rows)))
+    link = lambda i, j: prints[i] == prints[j] or (prints[i] ^ prints[j]).bit_count() <= 2 and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
+    while True:
+        new = [min(name[j] for j in range(len(rows)) if link(i, j)) for i in range(len(rows))]
+        if new == name:
+            break
+        name = new
+    groups = {}
+    for k, n in enumerate(name):
+        groups.setdefault(n, []).append(rows[k][0])
+    out = keep_first(df)
+    assert out.columns == df.columns
+    kept = sorted((r.doc_id for r in out.collect()), key=str)
+    assert kept == sorted((min((i for i in own if i is not None), default=None) for own in groups.values()), key=str)
+    assert keep_first(df.limit(0)).count() == 0
