@@ -123,9 +123,12 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
-        self.trie, self.stems = LexiconTrie([t for t in model.terms if t[-1] != "*"]), {t[:-1] for t in model.terms if t[-1] == "*"}
+        self.words, self.stems = {t for t in model.terms if t[-1] != "*"}, {t[:-1] for t in model.terms if t[-1] == "*"}
+        # terms whose near misses, seen or not, are worth nothing are met as they stand only
+        self.trie = LexiconTrie(sorted(t for t in self.words if model.misspelled.get(t, 0.0) > 0))
+        known = [w for w, worth in model.worth.items() if worth > 0]
         # what no term can be near to: no part of one, and no sign or digit among its letters
-        self.may_hit = "|".join([*map(re.escape, [*self.trie.parts, *sorted(self.stems)]), r"\pL[^\pL]+\pL", "[0-9]"])
+        self.may_hit = "|".join([*map(re.escape, [*self.trie.parts, *sorted({*self.words, *self.stems, *known})]), r"\pL[^\pL]+\pL", "[0-9]"])
 
     def hit(self, token: str) -> tuple[float, str, int] | None:
         """Worth, matched word and edits of a token's best hit."""
@@ -134,11 +137,13 @@ class Scorer:
                 self.known.clear()
             found = None
             for word in forms(token):
-                if self.stems and any(word[:n] in self.stems for n in STEM_LENGTHS):
+                if word in self.words or self.stems and any(word[:n] in self.stems for n in STEM_LENGTHS):
                     found = (1.0, word, 0)
-                elif match := self.trie.match(word):
-                    worth = self.model.worth.get(word, self.model.misspelled.get(match[0], 0.0)) if match[1] else 1.0
-                    found = max(found or (0.0, "", 0), (worth, word, match[1]))
+                    continue
+                match = None if word in self.model.worth else self.trie.match(word)
+                worth = self.model.misspelled[match[0]] if match else self.model.worth.get(word, 0.0)
+                if worth > 0:
+                    found = max(found or (0.0, "", 0), (worth, word, match[1] if match else 1))
             self.known[token] = found
         return self.known[token]
 
