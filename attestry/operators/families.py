@@ -40,7 +40,8 @@ def families(members: DataFrame, edges: DataFrame) -> DataFrame:
         F.max_by("raw_value", best).alias("raw_value"),
         F.max_by("id", best).alias("representative"),
         F.count("*").alias("n_evidence"),
-        F.count_distinct("value_num").alias("n_values"),
+        F.count_distinct(F.struct("value_num")).alias("n_values"),  # a missing value is one more value
+        F.bool_and("visual").alias("visual_only"),
         F.max("created_on").alias("updated_on"),
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(last)), lambda m: m["id"]), ","), 256).alias("members"),
     )

@@ -15,12 +15,12 @@ def known_at(facts: DataFrame, versions: DataFrame, requests: DataFrame) -> Data
     revision isn't there yet.
     """
     asked = requests.select("query_id", F.lower("subject").alias("s"), F.lower("predicate").alias("p"), F.col("period").alias("asked"), "policy", "known_at")
-    live = facts.where("active").select("fact_id", F.lower("subject").alias("s"), F.lower("predicate").alias("p"), *CONTEXT, "updated_on", "status", "value_num", "raw_value", "n_evidence", "revision")
+    live = facts.where("active").select("fact_id", F.lower("subject").alias("s"), F.lower("predicate").alias("p"), *CONTEXT, "updated_on", "visual_only", "status", "value_num", "raw_value", "n_evidence", "revision")
     matched = asked.join(live, ["s", "p"]).where("asked is null or asked = period")
     states = versions.select("fact_id", F.col("knowledge_revision").alias("k"), F.col("revision").alias("r"), "version_id", *(F.col(c).alias(f"v_{c}") for c in ("status", "value_num", "raw_value", "n_evidence")))
     seen = matched.join(states, "fact_id", "left").where("known_at is null or k <= known_at")
     latest = F.struct(F.when(F.col("known_at").isNotNull(), F.col("k")), F.col("r"))
-    keep = ["query_id", "fact_id", "policy", "known_at", *CONTEXT, "updated_on"]
+    keep = ["query_id", "fact_id", "policy", "known_at", *CONTEXT, "updated_on", "visual_only"]
     current = {"status": "status", "value_num": "value_num", "raw_value": "raw_value", "n_evidence": "n_evidence"}
     overlaid = [F.max_by(F.when(F.col("known_at").isNull(), F.col(c)).otherwise(F.col(f"v_{c}")), latest).alias(c) for c in current]
     return seen.groupBy(*keep).agg(F.max_by("version_id", latest).alias("version_id"), F.max_by(F.when(F.col("known_at").isNull(), F.col("revision")).otherwise(F.col("r")), latest).alias("revision"), *overlaid)
@@ -42,7 +42,8 @@ def gate(requests: DataFrame, facts: DataFrame, versions: DataFrame, reviews: Da
         F.count("*").alias("n"),
         F.count_distinct(F.coalesce("period", F.lit("\x00"))).alias("periods"),
         F.count_distinct(F.struct(*(F.coalesce(c, F.lit("\x00")) for c in CONTEXT))).alias("contexts"),
-        F.count_distinct("value_num").alias("distinct_values"),
+        F.count_distinct(F.struct("value_num")).alias("distinct_values"),
+        F.bool_and("visual_only").alias("all_visual"),
         F.bool_and(F.col("status") == "CORROBORATED").alias("all_corroborated"),
         F.bool_and(F.col("status").isin("SUPPORTED", "CORROBORATED")).alias("all_good"),
         F.bool_or(F.col("status").isin("CONTESTED", "UNRESOLVED")).alias("any_bad"),
@@ -65,13 +66,14 @@ def gate(requests: DataFrame, facts: DataFrame, versions: DataFrame, reviews: Da
     human = troubled & (F.col("policy") == "human_preference") & F.col("picked.review_id").isNotNull()
     none = F.col("n").isNull()
     needs_period = F.col("asked").isNull() & (F.col("periods") > 1)
-    decision = F.when(none, "not_found").when(needs_period, "needs_context").when(several | human, "allow").when(troubled, "block").when(F.col("first_evidence") == 0, "needs_review").otherwise("allow")
+    decision = F.when(none, "not_found").when(needs_period, "needs_context").when(F.col("all_visual"), "needs_review").when(several | human, "allow").when(troubled, "block").when(F.col("first_evidence") == 0, "needs_review").otherwise("allow")
     blocked = F.array_compact(F.array(F.lit("CONTESTED_OR_MULTIPLE"), F.when(F.col("any_unresolved"), "UNRESOLVED_CONTEXT"), F.when(F.col("any_stale"), "STALE_REVIEW")))
     good = F.array_compact(F.array(F.lit("GROUNDED"), F.when(F.when(several, F.col("all_corroborated")).otherwise(F.col("first_status") == "CORROBORATED"), "CORROBORATED")))
     reasons = (
         F.when(none & F.col("matched").isNull(), F.array(F.lit("NO_MATCH")))
         .when(none, F.array(F.lit("NO_MATCH_AT_REVISION")))
         .when(needs_period, F.array(F.lit("PERIOD_REQUIRED")))
+        .when(F.col("all_visual"), F.array(F.lit("VISUAL_EVIDENCE_REQUIRES_REVIEW")))
         .when(several, good)
         .when(human, F.array(F.lit("GROUNDED"), F.lit("HUMAN_PREFERENCE")))
         .when(troubled, blocked)

@@ -33,15 +33,15 @@ LANE = ["lane_subject", "lane_predicate"]
 SIDE = ["id", "document_id", "value_num", "value_type", "precision", "label", "context"]
 
 
-def lane_pairs(claims: DataFrame, limit: int = LANE_LIMIT) -> DataFrame:
-    """All pairs a.id < b.id within a lane and of different documents: columns a_* and b_* of resolved claims.
+def lane_pairs(claims: DataFrame, limit: int = LANE_LIMIT, further: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs a.id < b.id within a lane and of different documents: columns a_* and b_* of resolved claims, with further ones.
 
     The limit is applied before the join, so a frequent lane makes at most limit * (limit - 1) / 2 pairs.
     """
     last = Window.partitionBy(*LANE).orderBy(F.desc("id"))
     kept = claims.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= limit)
-    a = kept.select(*LANE, *(F.col(c).alias(f"a_{c}") for c in SIDE))
-    b = kept.select(*LANE, *(F.col(c).alias(f"b_{c}") for c in SIDE))
+    a = kept.select(*LANE, *(F.col(c).alias(f"a_{c}") for c in (*SIDE, *further)))
+    b = kept.select(*LANE, *(F.col(c).alias(f"b_{c}") for c in (*SIDE, *further)))
     return a.join(b, LANE).where("a_id < b_id and a_document_id <> b_document_id")
 
 
@@ -72,13 +72,14 @@ def comparison(a: str = "a_", b: str = "b_") -> Column:
     value = F.when(both_numeric, numeric).when(x("value_num") == y("value_num"), "equal").otherwise("UNKNOWN")
     same_period = x("label").eqNullSafe(y("label"))
     same_context = x("context").eqNullSafe(y("context"))
-    one_forecast = x("context").isin(*FORECASTS) != y("context").isin(*FORECASTS)
+    forecast = lambda c: F.coalesce(c.isin(*FORECASTS), F.lit(False))
+    one_forecast = forecast(x("context")) != forecast(y("context"))
     vintages = x("context").isin(*ESTIMATES) & y("context").isin(*ESTIMATES)
     agree = value.isin("equal", "rounding-compatible")
     cases = [
         (~same_period, "UNRELATED", 0.93),
         (agree, "CORROBORATES", 0.96),
-        (~same_context & F.coalesce(one_forecast, F.lit(False)), "UNCERTAIN", 0.91),
+        (~same_context & one_forecast, "UNCERTAIN", 0.91),
         (~same_context & F.coalesce(vintages, F.lit(False)), "RECONCILES", 0.90),
         (~same_context, "UNCERTAIN", 0.72),
         (F.coalesce(x("context") == "forecast", F.lit(False)), "CONTRADICTS", 0.91),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,7 +48,41 @@ def admit(requests: DataFrame, limit: int) -> DataFrame:
     return folded.select("budget_key", "r.request_id", "r.amount", "r.admitted", "r.reserved")
 
 
-def nearest_rank(values: Column, fraction: float) -> Column:
-    """The element of the sorted values at round((n - 1) * fraction), half to even."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.bround((F.size(ordered) - 1) * fraction).cast("int"))
+def settle(requests: DataFrame, limit: int) -> DataFrame:
+    """(budget_key, request_id, amount, outcome, cost): what becomes of each budget's requests in order.
+
+    requests(budget_key, request_id, amount, actual, status). A request is rejected if it doesn't fit beside what is
+    reserved and spent. One with an actual cost is settled as soon as it is admitted, once, and costs what is spendable at
+    most: then it is budget_capped if it was complete. One without stays reserved. Each depends on those before it, so
+    this is a fold over a budget's requests; a budget is one run's.
+    """
+    request = F.struct("request_id", F.col("amount").cast("long").alias("amount"), F.col("actual").cast("long").alias("actual"), "status")
+    rows = F.array_sort(F.collect_list(request))
+    kind = "array<struct<request_id:bigint,amount:bigint,outcome:string,cost:bigint>>"
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("reserved"), zero.alias("spent"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        fits = s["reserved"] + s["spent"] + r["amount"] <= limit
+        settled = fits & r["actual"].isNotNull()
+        spendable = F.greatest(zero, F.lit(limit).cast("long") - s["spent"] - s["reserved"])
+        cost = F.when(settled, F.least(F.greatest(zero, r["actual"]), spendable)).otherwise(zero)
+        capped = settled & (r["actual"] > cost) & (r["status"] == "complete")
+        outcome = F.when(~fits, "rejected").when(capped, "budget_capped").when(settled, r["status"]).otherwise("reserved")
+        row = F.struct(r["request_id"].alias("request_id"), r["amount"].alias("amount"), outcome.alias("outcome"), cost.alias("cost"))
+        reserved = s["reserved"] + F.when(fits & ~settled, r["amount"]).otherwise(zero)
+        return F.struct(reserved.alias("reserved"), (s["spent"] + cost).alias("spent"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    folded = requests.groupBy("budget_key").agg(rows.alias("rows")).select("budget_key", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
+    return folded.select("budget_key", "r.request_id", "r.amount", "r.outcome", "r.cost")
+
+
+def nearest_ranks(rows: DataFrame, key: str, value: str, fraction: float) -> DataFrame:
+    """(key, rank value) of each key: its sorted values' element at round((n - 1) * fraction), half to even.
+
+    Values are counted first, so a key has as many rows as different values, whatever its rows.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("k"))
+    running = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("upto", F.sum("k").over(running)).withColumn("n", F.sum("k").over(Window.partitionBy(key)))
+    return placed.where(F.col("upto") > F.bround((F.col("n") - 1) * fraction)).groupBy(key).agg(F.min(value).alias(value))

@@ -12,7 +12,7 @@ CLAIMS = """SELECT concat('claim-', substr(sha256(concat_ws('|', cast(l_orderkey
     ELSE concat(cast(year(l_shipdate) + 19 AS varchar), '-', substr(cast(year(l_shipdate) + 20 AS varchar), 3, 2)) END AS period,
   CASE l_linestatus WHEN 'O' THEN 'projected' ELSE 'actual' END AS modality, cast(NULL AS varchar) AS scope, cast(l_shipdate AS date) AS created_on,
   cast(l_linenumber AS int) AS pdf_page,
-  concat('Part#', cast(l_partkey AS varchar), ' discount rate was ', concat(cast(cast(cast(l_discount AS decimal(4,2)) * 100 AS int) AS varchar), '%')) AS evidence_text
+  concat('Part#', cast(l_partkey AS varchar), ' discount rate was ', concat(cast(cast(cast(l_discount AS decimal(4,2)) * 100 AS int) AS varchar), '%')) AS evidence_text, l_suppkey % 3 = 1 AS visual
 FROM lineitem"""
 
 LINES = """SELECT o_orderkey, o_custkey AS document_id, concat('Customer ', cast(o_custkey AS varchar), ' reported total price of $',
@@ -84,9 +84,9 @@ def steps(name: str, where: str = "true") -> str:
 {name}_flags AS (SELECT a.fact_id, bool_or(type = 'UNCERTAIN') AS uncertain, bool_or(type = 'CONTRADICTS') AS contradicts, bool_or(type = 'RECONCILES') AS reconciles, bool_or(type = 'CORROBORATES') AS corroborates
   FROM {name}_edges e JOIN {name}_members a ON e.claim_a = a.id JOIN {name}_members b ON e.claim_b = b.id WHERE a.fact_id = b.fact_id GROUP BY 1),
 {name}_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY coalesce(precision, -1) DESC, created_on DESC, id DESC) AS k FROM {name}_members) WHERE k = 1),
-{name}_grouped AS (SELECT fact_id, count(*) AS n_evidence, count(DISTINCT value_num) AS n_values, max(created_on) AS updated_on, sha256(string_agg(id, ',' ORDER BY created_on, id)) AS members FROM {name}_members GROUP BY 1),
+{name}_grouped AS (SELECT fact_id, count(*) AS n_evidence, count(DISTINCT coalesce(cast(value_num AS varchar), '')) AS n_values, bool_and(visual) AS visual_only, max(created_on) AS updated_on, sha256(string_agg(id, ',' ORDER BY created_on, id)) AS members FROM {name}_members GROUP BY 1),
 {name}_facts AS (SELECT b.fact_id, b.workspace_id, b.subject, b.predicate, b.label AS period, b.context AS modality, b.scope, b.value_type, b.unit, b.value_num, b.raw_value, b.id AS representative,
-    g.n_evidence, g.n_values, g.updated_on, g.members, CASE WHEN f.uncertain THEN 'UNRESOLVED' WHEN f.contradicts THEN 'CONTESTED' WHEN f.reconciles AND g.n_values > 1 THEN 'UNRESOLVED'
+    g.n_evidence, g.n_values, g.visual_only, g.updated_on, g.members, CASE WHEN f.uncertain THEN 'UNRESOLVED' WHEN f.contradicts THEN 'CONTESTED' WHEN f.reconciles AND g.n_values > 1 THEN 'UNRESOLVED'
       WHEN f.corroborates THEN 'CORROBORATED' ELSE 'SUPPORTED' END AS status
   FROM {name}_best b JOIN {name}_grouped g USING (fact_id) LEFT JOIN {name}_flags f USING (fact_id))"""
 
@@ -119,7 +119,7 @@ REQUESTS = """requests AS (SELECT DISTINCT concat_ws('|', subject, coalesce(CASE
   UNION ALL SELECT concat('Unknown#', i, '|-'), concat('Unknown#', i), 'discount_rate', NULL, 'strict', NULL FROM range(10) t(i))"""
 
 GATE = """matched AS (SELECT q.query_id, q.policy, q.known_at, q.period AS asked, f.* FROM requests q JOIN facts f ON lower(q.subject) = lower(f.subject) AND lower(q.predicate) = lower(f.predicate) AND (q.period IS NULL OR q.period = f.period)),
-overlaid AS (SELECT m.query_id, m.policy, m.fact_id, m.period, m.modality, m.scope, m.value_type, m.unit, m.updated_on,
+overlaid AS (SELECT m.query_id, m.policy, m.fact_id, m.period, m.modality, m.scope, m.value_type, m.unit, m.updated_on, m.visual_only,
     CASE WHEN m.known_at IS NULL THEN m.status ELSE v.status END AS status, CASE WHEN m.known_at IS NULL THEN m.value_num ELSE v.value_num END AS value_num,
     CASE WHEN m.known_at IS NULL THEN m.n_evidence ELSE v.n_evidence END AS n_evidence, v.version_id,
     row_number() OVER (PARTITION BY m.query_id, m.fact_id ORDER BY CASE WHEN m.known_at IS NOT NULL THEN v.knowledge_revision END DESC, v.revision DESC) AS k
@@ -131,16 +131,16 @@ seen AS (SELECT o.*, r.review_id, r.created_on AS reviewed, coalesce(s.stale, fa
   LEFT JOIN (SELECT DISTINCT fact_id, true AS stale FROM reviews WHERE stale OR status = 'stale') s ON s.fact_id = o.fact_id WHERE o.k = 1),
 grouped AS (SELECT query_id, count(*) AS n, count(DISTINCT coalesce(period, chr(0))) AS periods,
     count(DISTINCT concat_ws(chr(1), coalesce(period, chr(0)), coalesce(modality, chr(0)), coalesce(scope, chr(0)), coalesce(value_type, chr(0)), coalesce(unit, chr(0)))) AS contexts,
-    count(DISTINCT value_num) AS distinct_values, bool_and(status = 'CORROBORATED') AS all_corroborated, bool_and(status IN ('SUPPORTED', 'CORROBORATED')) AS all_good,
+    count(DISTINCT coalesce(cast(value_num AS varchar), '')) AS distinct_values, bool_and(visual_only) AS all_visual, bool_and(status = 'CORROBORATED') AS all_corroborated, bool_and(status IN ('SUPPORTED', 'CORROBORATED')) AS all_good,
     bool_or(status IN ('CONTESTED', 'UNRESOLVED')) AS any_bad, bool_or(status = 'UNRESOLVED') AS any_unresolved, bool_or(has_stale) AS any_stale, sum(n_evidence) AS all_evidence,
     max(CASE WHEN ord = 1 THEN fact_id END) AS first_fact, max(CASE WHEN ord = 1 THEN status END) AS first_status, max(CASE WHEN ord = 1 THEN value_num END) AS first_value, max(CASE WHEN ord = 1 THEN n_evidence END) AS first_evidence,
     max(CASE WHEN pref = 1 THEN review_id END) AS review_id, max(CASE WHEN pref = 1 THEN fact_id END) AS picked_fact, max(CASE WHEN pref = 1 THEN value_num END) AS picked_value FROM seen GROUP BY 1),
 flagged AS (SELECT q.query_id, q.period AS asked, g.*, g.n > 1 AND contexts = 1 AND all_good AND (distinct_values <= 1 OR all_corroborated) AS several, any_bad OR distinct_values > 1 AS troubled,
     (any_bad OR distinct_values > 1) AND q.policy = 'human_preference' AND review_id IS NOT NULL AS human, m.query_id IS NOT NULL AS matched
   FROM requests q LEFT JOIN (SELECT * EXCLUDE (query_id), query_id AS gq FROM grouped) g ON g.gq = q.query_id LEFT JOIN (SELECT DISTINCT query_id FROM matched) m ON m.query_id = q.query_id),
-decided AS (SELECT *, CASE WHEN n IS NULL THEN 'not_found' WHEN asked IS NULL AND periods > 1 THEN 'needs_context' WHEN several OR human THEN 'allow' WHEN troubled THEN 'block' WHEN first_evidence = 0 THEN 'needs_review' ELSE 'allow' END AS decision FROM flagged),
+decided AS (SELECT *, CASE WHEN n IS NULL THEN 'not_found' WHEN asked IS NULL AND periods > 1 THEN 'needs_context' WHEN all_visual THEN 'needs_review' WHEN several OR human THEN 'allow' WHEN troubled THEN 'block' WHEN first_evidence = 0 THEN 'needs_review' ELSE 'allow' END AS decision FROM flagged),
 decisions AS (SELECT query_id, decision, decision = 'allow' AS safe_to_use,
-    CASE WHEN n IS NULL AND NOT matched THEN 'NO_MATCH' WHEN n IS NULL THEN 'NO_MATCH_AT_REVISION' WHEN asked IS NULL AND periods > 1 THEN 'PERIOD_REQUIRED'
+    CASE WHEN n IS NULL AND NOT matched THEN 'NO_MATCH' WHEN n IS NULL THEN 'NO_MATCH_AT_REVISION' WHEN asked IS NULL AND periods > 1 THEN 'PERIOD_REQUIRED' WHEN all_visual THEN 'VISUAL_EVIDENCE_REQUIRES_REVIEW'
       WHEN several THEN CASE WHEN all_corroborated THEN 'GROUNDED,CORROBORATED' ELSE 'GROUNDED' END WHEN human THEN 'GROUNDED,HUMAN_PREFERENCE'
       WHEN troubled THEN concat('CONTESTED_OR_MULTIPLE', CASE WHEN any_unresolved THEN ',UNRESOLVED_CONTEXT' ELSE '' END, CASE WHEN any_stale THEN ',STALE_REVIEW' ELSE '' END)
       WHEN first_evidence = 0 THEN 'NO_EVIDENCE' WHEN first_status = 'CORROBORATED' THEN 'GROUNDED,CORROBORATED' ELSE 'GROUNDED' END AS reasons,

@@ -17,7 +17,7 @@ def text2(column: str) -> Column:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as claims: each supplier is a document that states a part's discount rate in a fiscal year."""
+    """Line items as claims: each supplier is a document that states a part's discount rate in a fiscal year; every third is scanned."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_linestatus", "l_shipdate")
     identity = F.concat_ws("|", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), text2("l_quantity"), text2("l_extendedprice"), F.col("l_shipdate").cast("date").cast("string"))
     year = F.year("l_shipdate") + 20
@@ -45,6 +45,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("created_on"),
         F.col("l_linenumber").cast("int").alias("pdf_page"),
         F.concat(subject, F.lit(" discount rate was "), raw).alias("evidence_text"),
+        (F.col("l_suppkey") % 3 == 1).alias("visual"),
     )
 
 

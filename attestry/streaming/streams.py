@@ -18,12 +18,26 @@ def replay(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in schema.names else rows
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All rows that a stream yields from what is there now, kept in a table of the session."""
-    name = f"stream_{uuid.uuid4().hex}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def shared_folder(spark: SparkSession) -> str:
+    """Where streams keep their state and results: the session's spark.checkpoint.dir, else a folder of the warehouse."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_streams").rstrip("/")
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All rows that a stream yields from what is there now, written as Parquet.
+
+    In append mode the file sink writes each row once, by its log; in complete mode each batch replaces the result
+    of the one before. State and progress are kept beside the result, so a stream that is broken off goes on there.
+    """
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        running = writer.format("parquet").option("path", f"{folder}/rows").start()
+    else:
+        running = writer.outputMode(mode).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     running.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def throughput(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
