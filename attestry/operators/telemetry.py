@@ -82,7 +82,7 @@ def nearest_ranks(rows: DataFrame, key: str, value: str, fraction: float) -> Dat
 
     Values are counted first, so a key has as many rows as different values, whatever its rows.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("k"))
-    running = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("upto", F.sum("k").over(running)).withColumn("n", F.sum("k").over(Window.partitionBy(key)))
-    return placed.where(F.col("upto") > F.bround((F.col("n") - 1) * fraction)).groupBy(key).agg(F.min(value).alias(value))
+    counted = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("own"), F.col(value).alias("x")).groupBy("own", "x").agg(F.count("*").alias("k"))
+    running = Window.partitionBy("own").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("upto", F.sum("k").over(running)).withColumn("n", F.sum("k").over(Window.partitionBy("own")))
+    return placed.where(F.col("upto") > F.bround((F.col("n") - 1) * fraction)).groupBy(F.col("own").alias(key)).agg(F.min("x").alias(value))

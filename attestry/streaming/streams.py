@@ -40,6 +40,48 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def ingested(texts: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """Texts that weren't there before, each once: (hash, id, further columns), the smallest id of a batch.
+
+    A batch writes what neither an earlier batch nor itself has written, to a folder of its own number, so a batch that is
+    run again replaces its own rows.
+    """
+    spark = texts.sparkSession
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    schema = f"hash string, id long, {', '.join(f'{k} string' for k in keep)}, batch long"
+
+    def take(rows: DataFrame, number: int) -> None:
+        hashed = rows.select(F.sha2(text_col, 256).alias("hash"), F.col(id_col).cast("long").alias("id"), *keep)
+        first = hashed.groupBy("hash").agg(F.min_by(F.struct("id", *keep), "id").alias("r")).select("hash", "r.*")
+        if number:
+            before = spark.read.schema(schema).parquet(f"{folder}/rows").where(F.col("batch") < number).select("hash")
+            first = first.join(before, "hash", "left_anti")
+        first.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    running = texts.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(take).start()
+    running.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
+
+
+def published(turns: DataFrame) -> DataFrame:
+    """Turns of conversations that readers may see: batches are written as provisional and published by a revision each.
+
+    A reader joins the rows with the published revisions, so rows of a batch that broke off are never seen.
+    """
+    spark = turns.sparkSession
+    folder = f"{shared_folder(spark)}/publish-{uuid.uuid4().hex}"
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in turns.schema)}, revision long"
+
+    def take(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/revision={number}")
+        spark.range(1).select(F.lit(number).cast("long").alias("revision")).write.mode("overwrite").parquet(f"{folder}/published/{number}")
+
+    running = turns.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(take).start()
+    running.awaitTermination()
+    revisions = spark.read.schema("revision long").option("recursiveFileLookup", "true").parquet(f"{folder}/published")
+    return spark.read.schema(schema).parquet(f"{folder}/rows").join(F.broadcast(revisions), "revision")
+
+
 def throughput(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their values in each window and of each type."""
     by = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
