@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.operators import relations as rel
+
 FAMILY = ["lane_subject", "lane_predicate", "label", "context", "scope", "value_type", "unit"]
 STATE = ["status", "value_num", "raw_value", "representative", "n_evidence", "members"]
 
@@ -23,7 +25,18 @@ def inner_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     return both.groupBy("fact_id").agg(*(F.bool_or(F.col("type") == kind).alias(kind.lower()) for kind in ("UNCERTAIN", "CONTRADICTS", "RECONCILES", "CORROBORATES")))
 
 
-def families(members: DataFrame, edges: DataFrame) -> DataFrame:
+def inner_flags(members: DataFrame, limit: int = rel.LANE_LIMIT) -> DataFrame:
+    """What inner_edges gives for all edges of the members, from the pairs of a family alone.
+
+    Lanes are cut to their limit first; then the family is one more key of the pairs' join, so no pair of two families
+    is formed, no edge gets an id, and no edge is joined with its ends.
+    """
+    same = rel.lane_pairs(members, limit, further=("fact_id",)).where("a_fact_id = b_fact_id")
+    compared = same.select(F.col("a_fact_id").alias("fact_id"), rel.comparison()["type"].alias("type")).where("type <> 'UNRELATED'")
+    return compared.groupBy("fact_id").agg(*(F.bool_or(F.col("type") == kind).alias(kind.lower()) for kind in ("UNCERTAIN", "CONTRADICTS", "RECONCILES", "CORROBORATES")))
+
+
+def families(members: DataFrame, flags: DataFrame) -> DataFrame:
     """One row per family: identity, status, representative value, evidence and members (a hash of their ordered ids)."""
     best = F.struct(F.coalesce("precision", F.lit(-1)), "created_on", "id")
     last = F.struct("created_on", "id")
@@ -45,7 +58,6 @@ def families(members: DataFrame, edges: DataFrame) -> DataFrame:
         F.max("created_on").alias("updated_on"),
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(last)), lambda m: m["id"]), ","), 256).alias("members"),
     )
-    flags = inner_edges(members, edges)
     status = (
         F.when(F.col("uncertain"), "UNRESOLVED")
         .when(F.col("contradicts"), "CONTESTED")

@@ -27,10 +27,16 @@ def facts_of(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame
     key = (spark.sparkContext.applicationId, sf_dir, where)
     if key not in _kept:
         claims = members(spark, sf_dir, where)
-        _kept[key] = fam.families(claims, rel.edges(rel.lane_pairs(claims))).persist()
+        _kept[key] = fam.families(claims, fam.inner_flags(claims)).persist()
     return _kept[key]
 
 
+def forget() -> None:
+    """Drops the families that are kept: after tables have changed, or for cold runs."""
+    while _kept:
+        _kept.popitem()[1].unpersist()
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The published state after the first and after the second revision."""
     first = facts_of(spark, sf_dir, EARLY)
