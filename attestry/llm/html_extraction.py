@@ -30,16 +30,18 @@ from pyspark.sql import functions as F
 from attestry.llm.base import chunked, cut_lineage, mix
 
 #: Tokens of a run whose hash makes an anchor, runs of which one is an anchor, and what follows: the least length of a repeat.
-DEPTH, WINDOW = 4, 6
+DEPTH, WINDOW = 6, 7
 LEAST = DEPTH + WINDOW - 1
 #: Tokens of a suffix that are compared. Longer repeats are covered by the suffixes that begin within them.
-COMPARED = 24
+COMPARED = 16
 #: An article's repeats are boilerplate if so many pages have them, and so large a share of the host's pages.
 ARTICLE_PAGES, ARTICLE_SHARE = 5, 0.5
 #: The share of a page's text that boilerplate is at most; a page with more of it is a copy.
 MOST_REMOVED = 0.8
 #: A side of at most so many keys or spans (some 16 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: A side of at most so many single keys (8 bytes each) is broadcast.
+BROADCAST_KEYS = 1_000_000
 
 # Kinds of elements.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -210,7 +212,7 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 
 def _anchored(rows: DataFrame, context: bool) -> DataFrame:
-    """(anchor, page) of each page's anchors; with context also id, page_key, host, pos, before and tokens.
+    """(anchor, page) of each page's anchors; with context also host, id, page_key, pos, before and tokens.
 
     anchor is a hash of the host and the run, page one of the stream, so pages of the same tokens are one. tokens (four
     bytes each, in an order that sorts) begin at pos, `before` tokens ahead of the anchor.
@@ -219,14 +221,14 @@ def _anchored(rows: DataFrame, context: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "html"):
             keys, pages, of, starts, befores, tokens = [], [], [], [], [], []
-            for row, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+            for row, (host, page) in enumerate(zip(batch.column("host").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("html").to_pylist(), strict=True)):
                 codes = stream(blocks(page))
                 places, runs = anchors(codes)
-                own = mix(runs + np.uint64(xxhash.xxh64_intdigest(host))).view(np.int64)
+                own = mix(runs + host).view(np.int64)
                 if not context:
                     own = np.unique(own)
                 keys.append(own)
-                pages.append(np.full(len(own), np.uint64(xxhash.xxh64_intdigest(codes.tobytes()))).view(np.int64))
+                pages.append(np.full(len(own), np.uint32(xxhash.xxh32_intdigest(codes.tobytes()))).view(np.int32))
                 if context:
                     data = codes.astype(">u4").tobytes()
                     begin = np.maximum(places - WINDOW + 1, 0)
@@ -235,15 +237,15 @@ def _anchored(rows: DataFrame, context: bool) -> DataFrame:
                     befores.append(places - begin)
                     tokens += [data[4 * b : 4 * (p + COMPARED)] for b, p in zip(begin.tolist(), places.tolist(), strict=True)]
             flat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.empty(0, t))
-            columns, names = [flat(keys, np.int64), flat(pages, np.int64)], ["anchor", "page"]
+            columns, names = [flat(keys, np.int64), flat(pages, np.int32)], ["anchor", "page"]
             if context:
                 where = pa.array(of, pa.int64())
-                columns += [*(batch.column(c).take(where) for c in ("id", "page_key", "host")), flat(starts, np.int32), flat(befores, np.int32), pa.array(tokens, pa.binary())]
-                names += ["id", "page_key", "host", "pos", "before", "tokens"]
+                columns += [*(batch.column(c).take(where) for c in ("host", "id", "page_key")), flat(starts, np.int32), flat(befores, np.int32), pa.array(tokens, pa.binary())]
+                names += ["host", "id", "page_key", "pos", "before", "tokens"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "anchor long, page long" + (", id long, page_key long, host string, pos int, before int, tokens binary" if context else "")
-    return rows.select("id", "host", "html", "page_key").mapInArrow(run, schema)
+    schema = "anchor long, page int" + (", host long, id long, page_key long, pos int, before int, tokens binary" if context else "")
+    return rows.select("id", F.xxhash64("host").alias("host"), "html", "page_key").mapInArrow(run, schema)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -255,37 +257,40 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def _neighbours(suffixes: DataFrame) -> DataFrame:
-    """(host, suffix, pages, length) of suffixes(host, suffix, first, last, pages), sorted by host and suffix.
+    """(begin, key, length) of suffixes(begin, suffix, key, first, last), sorted by begin and suffix; key is a hash of the suffix.
 
-    length is how many tokens a suffix has in common with a neighbour of another page, LEAST at least: the suffixes here
-    all share so many with another page's. first and last are the smallest and largest page that has the suffix.
+    length is how many tokens a suffix has in common with a neighbour of another page, LEAST at least: the suffixes of one
+    begin all share so many. first and last are the smallest and largest page that has the suffix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row before, and its length so far
+
+        def made(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r, _ in out], pa.int64()) for k in (0, 4)] + [pa.array([n for _, n in out], pa.int32())], ["begin", "key", "length"])
+
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("host", "suffix", "first", "last", "pages")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("begin", "suffix", "first", "last", "key")), strict=True):
                 length = LEAST if row[2] == row[3] else len(row[1]) // 4
                 if held is not None:
                     before, least = held
                     if before[0] == row[0] and not before[2] == before[3] == row[2] == row[3]:
                         shared = _common(before[1], row[1])
                         length, least = max(length, shared), max(least, shared)
-                    out.append((before[0], before[1], before[4], least))
+                    out.append((before, least))
                 held = row, length
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64(), pa.int32()))], ["host", "suffix", "pages", "length"])
+            yield made(out)
         if held is not None:
-            row, length = held
-            yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.binary()), pa.array([row[4]], pa.int64()), pa.array([length], pa.int32())], ["host", "suffix", "pages", "length"])
+            yield made([held])
 
-    return suffixes.select("host", "suffix", "first", "last", "pages").mapInArrow(run, "host string, suffix binary, pages long, length int")
+    return suffixes.select("begin", "suffix", "first", "last", F.xxhash64("suffix").alias("key")).mapInArrow(run, "begin long, key long, length int")
 
 
-def _checked(small: DataFrame, size=None) -> DataFrame:
+def _checked(small: DataFrame, size=None, most: int = BROADCAST_ROWS) -> DataFrame:
     """small, to be broadcast if it has few rows, or few entries where size counts them."""
     if size is None:
-        few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        few = small.limit(most + 1).count() <= most
     else:
         few = small.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_ROWS
     return F.broadcast(small) if few else small
@@ -296,19 +301,19 @@ def repeats(rows: DataFrame) -> DataFrame:
     shared = cut_lineage(_anchored(rows, False).groupBy("anchor").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first <> last").select("anchor"))
     if shared.isEmpty():
         return rows.sparkSession.createDataFrame([], "id long, page_key long, spans array<struct<pos: int, length: int, pages: long, of: long>>")
-    around = cut_lineage(_anchored(rows, True).join(_checked(shared), "anchor", "left_semi"))
+    around = cut_lineage(_anchored(rows, True).join(_checked(shared, most=BROADCAST_KEYS), "anchor", "left_semi").drop("anchor"))
     begun = around.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("before"))))
-    suffix = F.expr(f"substring(tokens, 4 * k + 1, {4 * COMPARED})").alias("suffix")
-    suffixes = begun.select("host", "page", "id", "page_key", (F.col("pos") + F.col("k")).alias("pos"), suffix).where(F.length("suffix") >= 4 * LEAST).distinct()
-    suffixes = cut_lineage(suffixes.withColumn("begin", F.expr(f"substring(suffix, 1, {4 * LEAST})")))
-    long = suffixes.groupBy("host", "begin", "page").agg(F.lit(1)).groupBy("host", "begin").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.count("*").alias("pages"))
-    long = cut_lineage(long.where("low < high").select("host", "begin", "pages"))
-    each = suffixes.groupBy("host", "begin", "suffix").agg(F.min("page").alias("first"), F.max("page").alias("last"))
-    array = each.join(long, ["host", "begin"]).repartition("host", "begin").sortWithinPartitions("host", "suffix")
-    lengths = _neighbours(array)
-    size = rows.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    found = suffixes.join(lengths, ["host", "suffix"]).join(size, "host")
-    return found.groupBy("id", "page_key").agg(F.collect_list(F.struct("pos", "length", "pages", "of")).alias("spans"))
+    suffix, first = F.expr(f"substring(tokens, 4 * k + 1, {4 * COMPARED})"), F.expr(f"substring(tokens, 4 * k + 1, {4 * LEAST})")
+    # begin is a hash of the host and the first LEAST tokens
+    suffixes = begun.select("host", "page", "id", "page_key", (F.col("pos") + F.col("k")).alias("pos"), F.xxhash64("host", first).alias("begin"), suffix.alias("suffix")).where(F.length("suffix") >= 4 * LEAST)
+    each = suffixes.groupBy("begin", "page").agg(F.lit(1)).groupBy("begin").agg(F.count("*").alias("pages")).where("pages > 1")
+    long = _checked(cut_lineage(each))
+    sorted_ = suffixes.join(long, "begin", "left_semi").groupBy("begin", "suffix").agg(F.min("page").alias("first"), F.max("page").alias("last")).repartition("begin").sortWithinPartitions("begin", "suffix")
+    lengths = cut_lineage(_neighbours(sorted_))
+    size = rows.select(F.xxhash64("host").alias("host"), "page_key").groupBy("host").agg(F.count_distinct("page_key").alias("of"))
+    placed = suffixes.join(long, "begin").select("host", "id", "page_key", "pos", "begin", "pages", F.xxhash64("suffix").alias("key"))
+    found = placed.join(_checked(lengths), ["begin", "key"]).join(_checked(cut_lineage(size)), "host")
+    return found.groupBy("id", "page_key").agg(F.collect_set(F.struct("pos", "length", "pages", "of")).alias("spans"))
 
 
 def long_runs(covered: np.ndarray) -> np.ndarray:
