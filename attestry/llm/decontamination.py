@@ -188,7 +188,7 @@ def contaminated(
         return docs.sparkSession.createDataFrame([], "id long, text_key long, item long, start long, size int, similarity double")
     windows = cut_lineage(windows.withColumn("window", F.monotonically_increasing_id()))
     looked = _blocks(windows.select("window", "n_words", "fp"))
-    near = looked.join(_entered(items), ["n_words", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = looked.join(_entered(items).hint("merge"), ["n_words", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     near = windows.drop("n_words", "fp").join(near.select("window", "item").distinct(), "window")
     texts = items.select("item", F.col("shingles").alias("item_shingles"))
     near = near.join(F.broadcast(texts) if total <= PASS_SHINGLES else texts, "item")
