@@ -85,6 +85,13 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = CHU
             start = stop
 
 
+def translated(texts: pa.Array, table: bytes) -> pa.Array:
+    """The texts with each byte replaced by table's; table must keep bytes of 128 and more, so that it stays UTF-8."""
+    texts = texts.cast(pa.string())
+    valid, offsets, data = texts.buffers()
+    return pa.Array.from_buffers(texts.type, len(texts), [valid, offsets, pa.py_buffer(data.to_pybytes().translate(table) if data else b"")], offset=texts.offset)
+
+
 class Words:
     """The words of some texts: codes into distinct, all texts in a row; text i has codes[starts[i]:starts[i + 1]].
 
