@@ -88,8 +88,11 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = CHU
 def translated(texts: pa.Array, table: bytes) -> pa.Array:
     """The texts with each byte replaced by table's; table must keep bytes of 128 and more, so that it stays UTF-8."""
     texts = texts.cast(pa.string())
-    valid, offsets, data = texts.buffers()
-    return pa.Array.from_buffers(texts.type, len(texts), [valid, offsets, pa.py_buffer(data.to_pybytes().translate(table) if data else b"")], offset=texts.offset)
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4) if len(texts) else np.zeros(1, np.int32)
+    own = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes().translate(table) if data else b""
+    found = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(own))
+    return found if not texts.null_count else pc.if_else(pc.is_null(texts), pa.scalar(None, pa.string()), found)
 
 
 class Words:

@@ -26,9 +26,23 @@ from attestry.llm.base import chunked, shared_folder, translated
 #: Bytes that end a piece become line feeds, tabs spaces, A-Z lower case.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Text of a block (a longer document is a block of its own). Blocks are numbered by 20 bits of the partition and 12 within.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 _BLOCKS, _KEYS = 12, 31
-_ROWS = "block long, slots array<int>, n array<long>"
+#: A relation has a row of slots for each block and, with slots null, a row for each of its distinct phrases.
+_ROWS = "block long, slots array<int>, place int, n long"
+_BATCH = 1 << 16
+
+
+def _rows(block: int, slots: np.ndarray, times: np.ndarray, **names: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of a block: its slots, and its phrases by place."""
+    none = {k: pa.nulls(1, v.type) for k, v in names.items()}
+    slots_row = {"block": pa.array([block]), "slots": pa.array([slots], pa.list_(pa.int32())), "place": pa.nulls(1, pa.int32()), "n": pa.nulls(1, pa.int64())}
+    yield pa.RecordBatch.from_pydict(slots_row | none)
+    for start in range(0, len(times), _BATCH):
+        part = slice(start, start + _BATCH)
+        places, own = pa.array(np.arange(start, start + len(times[part]), dtype=np.int32)), {k: v[part] for k, v in names.items()}
+        yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(places), block)), "slots": pa.nulls(len(places), pa.list_(pa.int32())), "place": places, "n": pa.array(times[part])} | own)
+    pa.default_memory_pool().release_unused()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -44,6 +58,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _words(texts: pa.Array, langs: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The words of all texts in a row, with a line feed after each piece, and the language of each."""
+    ended = pc.replace_substring(pc.binary_join_element_wise(translated(texts, _TABLE), "\n", ""), "\n", " \n ")
+    lists = pc.split_pattern(ended, " ")
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    lang = np.repeat(langs.astype(np.int32), np.diff(lists.offsets.to_numpy()))[full.to_numpy(zero_copy_only=False)]
+    return lang, flat.filter(full).dictionary_encode()
+
+
 def _first(docs: DataFrame) -> DataFrame:
     """R1 of docs(lang, text): a block's slots hold 1 + the place of a word among the block's words, or 0 at a piece's end."""
 
@@ -52,27 +76,17 @@ def _first(docs: DataFrame) -> DataFrame:
         for number, part in enumerate(_blocks(batches)):
             if number >> _BLOCKS or task >> 20:
                 raise ValueError("more blocks or partitions than their numbers hold: use more, or fewer, partitions")
-            texts, langs = part.column("text").combine_chunks(), part.column("lang").combine_chunks().dictionary_encode()
-            ended = pc.binary_join_element_wise(translated(texts, _TABLE), "\n", "")
-            lists = pc.split_pattern(pc.replace_substring(ended, "\n", " \n "), " ")
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            flat = lists.flatten()
-            full = pc.greater(pc.binary_length(flat), 0)
-            lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts)[full.to_numpy(zero_copy_only=False)]
-            words = flat.filter(full).dictionary_encode()
-            codes, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+            langs = part.column("lang").combine_chunks().dictionary_encode()
+            lang, words = _words(part.column("text").combine_chunks(), langs.indices.to_numpy(zero_copy_only=False))
+            codes, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary
             real = pc.not_equal(names, "\n").to_numpy(zero_copy_only=False)[codes]
-            keys, places, times = np.unique(lang[real] * len(names) + codes[real], return_inverse=True, return_counts=True)
+            keys, places, times = np.unique(lang[real].astype(np.int64) * len(names) + codes[real], return_inverse=True, return_counts=True)
             slots = np.zeros(len(codes), np.int32)
             slots[real] = places + 1
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
-            columns = [pa.array([task << _BLOCKS | number]), one(slots, pa.int32()), one(times, pa.int64())]
-            of_lang, of_word = langs.dictionary.take(pa.array(keys // len(names))), names.take(pa.array(keys % len(names)))
-            for values in (of_lang, of_word):
-                columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-            yield pa.RecordBatch.from_arrays(columns, ["block", "slots", "n", "lang", "word"])
+            lang_of, word_of = langs.dictionary.take(pa.array(keys // len(names))), names.take(pa.array(keys % len(names)))
+            yield from _rows(task << _BLOCKS | number, slots, times, lang=lang_of, word=word_of)
 
-    return docs.mapInArrow(run, _ROWS + ", lang array<string>, word array<string>")
+    return docs.mapInArrow(run, _ROWS + ", lang string, word string")
 
 
 def _next(blocks: DataFrame) -> DataFrame:
@@ -91,12 +105,10 @@ def _next(blocks: DataFrame) -> DataFrame:
                 keys, of, times = np.unique((kept[at] - 1) * len(names) + kept[at + 1] - 1, return_inverse=True, return_counts=True)
                 longer = np.zeros(len(slots), np.int32)
                 longer[at] = of + 1
-                one = lambda values, kind: pa.array([values], pa.list_(kind))
-                columns = [batch.column("block").slice(i, 1), one(longer, pa.int32()), one(times, pa.int64())]
-                columns += [one(names[keys // max(1, len(names))], pa.int64()), one(names[keys % max(1, len(names))], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "slots", "n", "head", "tail"])
+                head, tail = names[keys // max(1, len(names))], names[keys % max(1, len(names))]
+                yield from _rows(batch.column("block")[i].as_py(), longer, times, head=pa.array(head, pa.int64()), tail=pa.array(tail, pa.int64()))
 
-    return blocks.select("block", "slots", "places", "names").mapInArrow(run, _ROWS + ", head array<long>, tail array<long>")
+    return blocks.select("block", "slots", "places", "names").mapInArrow(run, _ROWS + ", head long, tail long")
 
 
 def _frequent(counted: DataFrame, by: list[str], least: int) -> DataFrame:
@@ -139,8 +151,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, text_col:
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     def counted(relation: DataFrame, *by: str) -> DataFrame:
-        pairs = relation.select("block", F.posexplode(F.arrays_zip("n", *by)).alias("place", "key"))
-        return pairs.select("block", "place", "key.*")
+        return relation.where("slots is null").select("block", "place", "n", *by)
 
     occurrences = persisted(_first(docs.select(lang.alias("lang"), text.alias("text"))), "1")
     totals = persisted(counted(occurrences, "lang").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
@@ -149,7 +160,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, text_col:
     found = None
     for k in range(2, longest + 1):
         kept = stay.groupBy("block").agg(F.collect_list(F.struct("place", "name")).alias("kept"))
-        blocks = occurrences.select("block", "slots").join(kept, "block").select("block", "slots", F.col("kept.place").alias("places"), F.col("kept.name").alias("names"))
+        blocks = occurrences.where("slots is not null").select("block", "slots").join(kept, "block").select("block", "slots", F.col("kept.place").alias("places"), F.col("kept.name").alias("names"))
         occurrences = persisted(_next(blocks), str(k))
         stay = persisted(_frequent(counted(occurrences, "head", "tail"), ["head", "tail"], least), f"{k}-frequent")
         new = stay.where("own = name").select("name", "head", "tail", F.col("n").alias("a"))
