@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from attestry.plans import claims_to_gate, evidence_steps, more_tables, review_and_runs, streaming_queries, tables_and_text
+from attestry.plans import claims_to_gate, evidence_steps, more_tables, review_and_runs, search, streaming_queries, tables_and_text
 
-_GROUPS = (claims_to_gate, tables_and_text, more_tables, evidence_steps, review_and_runs, streaming_queries)
+_GROUPS = (claims_to_gate, tables_and_text, more_tables, evidence_steps, review_and_runs, streaming_queries, search)
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 ORACLE_SQL = {name: sql for group in _GROUPS for name, sql in group.ORACLE_SQL.items()}

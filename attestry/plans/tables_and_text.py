@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from attestry.operators import extraction as ex
 from attestry.operators import relations as rel
 from attestry.operators import retrieval as rt
 from attestry.operators import telemetry as tm
+from attestry.operators.search_index import SearchIndex
 from attestry.plans import oracle
 from attestry.sources import views
 from attestry.sources.tables import table
+from attestry.streaming.streams import shared_folder
 
 QUERIES, ORACLE_SQL = {}, {}
 CLAIMS, LINES, MENTIONS, CALLS = (f"({q})" for q in (oracle.CLAIMS, oracle.LINES, oracle.MENTIONS, oracle.TELEMETRY))
@@ -386,10 +390,11 @@ def j3(spark, sf):
   s AS (SELECT q.query_id, p.id, count(*) AS met, sum(greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / st.a))) AS score FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY 1, 2)
   SELECT query_id, id, rank FROM (SELECT s.query_id, id, row_number() OVER (PARTITION BY s.query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s JOIN n ON n.query_id = s.query_id AND met = m) WHERE rank <= 30""")
 def m2(spark, sf):
-    docs = table(spark, sf, "documents")
-    stats = docs.agg(F.count("*"), F.avg(F.size(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"))))).first()
+    """The documents by a stored index, of which only what is not yet there is loaded."""
+    docs, index = table(spark, sf, "documents"), SearchIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", id_type="long")
+    index.add(docs, "doc_id", F.col("text"))
     asked = spark.createDataFrame([(1, "the OR for"), (2, "was AND this thble")], "query_id int, q string").select("query_id", rt.query_tokens(F.col("q")).alias("tokens"))
-    return rt.lexical(asked, rt.postings(docs, "doc_id", F.col("text")), stats[0], stats[1], 30).select("query_id", "id", "rank")
+    return index.search(asked, 30).select("query_id", "id", "rank")
 
 
 _DENSE = """SELECT query_id, id, rank, score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id,
@@ -422,11 +427,6 @@ def m9(spark, sf):
     return docs.join(stored, "doc_id", "left").where(~F.col("hash").eqNullSafe(F.col("stored"))).select("doc_id")
 
 
-@query("m12_fact_search", f"SELECT status, count(*) AS n FROM (SELECT document_id AS status FROM {CLAIMS} WHERE subject LIKE '%#1%' OR evidence_text LIKE '%was 7%%') GROUP BY 1")
-def m12(spark, sf):
-    hit = F.col("subject").like("%#1%") | F.col("evidence_text").like("%was 7%%")
-    return views.claims(spark, sf).where(hit).groupBy(F.col("document_id").alias("status")).agg(F.count("*").alias("n"))
-
 
 # --- O: telemetry
 
