@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from attestry.functions.names import MODALITY_WORDS, conceptual_predicate, name_key, predicate_key
+from attestry.functions.names import MODALITY_WORDS, conceptual_predicate, entity_key, name_key, predicate_key
+from attestry.operators.graph import components, cut
 
 # Limits of the lanes, labels that are no entity, and words that relate a subject to its value.
 LEXICAL_GATE, EMBEDDING_GATE, LEAST_TRIGRAMS, CANDIDATES = 0.72, 0.90, 0.18, 8
+SEQUENCE_WEIGHT = 0.92
 GENERIC_SCOPES = ("company", "consolidated", "global", "group", "standalone")
 RELATION_WORDS = (
     "actual", "amounted", "at", "be", "been", "by", "estimate", "estimated", "forecast", "forecasted", "grew", "grown", "is", "observed",
@@ -80,8 +86,39 @@ def lexical_candidates(sources: DataFrame, registry: DataFrame) -> DataFrame:
     return both.where(F.col("words").isNotNull() | (F.col("grams") >= LEAST_TRIGRAMS)).select("source_id", "id", F.round(F.coalesce("words", F.lit(0.0)), 6).alias("words"), F.round(F.coalesce("grams", F.lit(0.0)), 6).alias("grams"))
 
 
+@F.pandas_udf(DoubleType())
+def sequence_ratio(source: pd.Series, candidate: pd.Series) -> pd.Series:
+    """Twice the characters of matching blocks by those of both: the longest common block, then those left and right of it."""
+    out, matcher = pd.Series(0.0, index=source.index), SequenceMatcher()
+    for text, rows in source.groupby(candidate, sort=False):
+        matcher.set_seq2(text)
+        for i, asked in rows.items():
+            matcher.set_seq1(asked)
+            out[i] = matcher.ratio()
+    return out
+
+
+def lexical_scores(sources: DataFrame, registry: DataFrame) -> DataFrame:
+    """(source_id, id, score): the best of word and trigram similarity and the weighted sequence ratio, of `lexical_candidates`.
+
+    The ratio is taken where it can be the best only: it is at most twice the shorter length by both lengths. Equal pairs
+    of name keys are compared once.
+    """
+    pairs = lexical_candidates(sources, registry)
+    keyed = lambda df, i, name: df.select(i, name_key(F.col("label")).alias(name))
+    named = pairs.join(keyed(sources, "source_id", "asked"), "source_id").join(keyed(registry, "id", "held"), "id")
+    named = named.withColumn("known", F.greatest("words", "grams"))
+    bound = SEQUENCE_WEIGHT * 2 * F.least(F.length("asked"), F.length("held")) / (F.length("asked") + F.length("held"))
+    open_pairs = named.where(bound > F.col("known") - 1e-6).select("asked", "held").distinct().withColumn("ratio", sequence_ratio("asked", "held"))
+    scored = named.join(open_pairs, ["asked", "held"], "left")
+    return scored.select("source_id", "id", F.round(F.greatest("known", SEQUENCE_WEIGHT * F.coalesce("ratio", F.lit(0.0))), 6).alias("score"))
+
+
 def vector_candidates(sources: DataFrame, entries: DataFrame, first: int = 100) -> DataFrame:
-    """(source_id, id, score): dot products of unit vectors of one length, with the first entries by id (at most `first`)."""
+    """(source_id, id, score): dot products of unit vectors of one length, with the first entries by id (at most `first`).
+
+    All entries after these are never compared: the lane is defined so.
+    """
     few = F.broadcast(entries.orderBy("id").limit(first))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     pairs = sources.select("source_id", F.col("vector").alias("q")).join(few.select("id", F.col("vector").alias("v")), F.col("source_id") != F.col("id"))
@@ -130,3 +167,89 @@ def observed(registry: DataFrame, mentions: DataFrame, key: Column) -> DataFrame
     first = asked.groupBy("key").agg(F.min("mention_id").alias("first"))
     named = first.join(held, "key", "left").select("key", "first", F.coalesce("entry_id", F.concat(F.lit("entry-"), F.substr(F.sha2("key", 256), F.lit(1), F.lit(12)))).alias("entry_id"), F.col("entry_id").isNull().alias("fresh"))
     return asked.join(named, "key").select("entry_id", "mention_id", (F.col("fresh") & (F.col("mention_id") == F.col("first"))).alias("is_new"))
+
+
+#: Names that one task takes in order at most; longer blocks are taken in slices, a round each.
+BLOCK_NAMES = 5_000
+
+
+def _taken_in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Which names of a slice make an entry: rows(key, first, target, definite, doubtful, known) in the order of `first`.
+
+    definite and doubtful are candidates (key, score); known says of doubtful names of earlier slices whether they made one.
+    """
+    made: dict[str, bool] = {}
+    for row in rows.sort_values("first").itertuples():
+        before = {k["key"]: k["makes"] for k in row.known}
+        held = [(-c["score"], c["key"]) for c in row.definite] + [(-c["score"], c["key"]) for c in row.doubtful if made.get(c["key"], before.get(c["key"], False))]
+        best = sorted(held)[:CANDIDATES]
+        made[row.key] = not (best and -best[0][0] >= LEXICAL_GATE and row.target in {key for _, key in best})
+    return pd.DataFrame({"key": list(made), "makes": list(made.values())})
+
+
+def resolved_in_order(registry: DataFrame, mentions: DataFrame, decisions: DataFrame, key: Column | None = None) -> DataFrame:
+    """(mention_id, entry_id, status, relation, target_key, is_new): mentions taken one after another by mention_id.
+
+    registry(entry_id, label), mentions(mention_id, label), decisions(source_key, relation, target_key), one for a source. A
+    name with the key of an entry is that entry. Another is compared with all entries there are by then, also those made by
+    earlier mentions: if the best of its eight candidates (ties by key) passes the gate, its decision counts, where it
+    names one of them: `equivalent` makes it that entry; anything else makes an entry of its own, as does a name that
+    passes no gate. Labels that give no key are left out, as is any null id.
+
+    Only names with an equivalent decision can fail to make an entry, so only these wait for each other: blocks are the
+    components of such names that may change each other's candidates. A block is taken in order in one task, BLOCK_NAMES at a
+    time; everything else is joins.
+    """
+    asked_key = entity_key(F.col("label")) if key is None else key
+    held = registry.select("entry_id", "label", asked_key.alias("key")).where("key <> '' and entry_id is not null").groupBy("key").agg(F.min(F.struct("entry_id", "label")).alias("e")).select("key", "e.*")
+    said = mentions.select("mention_id", "label", asked_key.alias("key")).where("key <> '' and mention_id is not null")
+    first = said.groupBy("key").agg(F.min(F.struct("mention_id", "label")).alias("m")).select("key", F.col("m.mention_id").alias("first"), "m.label")
+    fresh = cut(first.join(held, "key", "left_anti"))
+    names = held.select("key", "label", F.lit(None).cast(fresh.schema["first"].dataType).alias("first")).unionByName(fresh.select("key", "label", "first"))
+    scores = lexical_scores(fresh.select(F.col("key").alias("source_id"), "label"), names.select(F.col("key").alias("id"), "label"))
+    orders = fresh.select(F.col("key").alias("source_id"), F.col("first").alias("source_first"))
+    pairs = scores.join(orders, "source_id").join(names.select(F.col("key").alias("id"), "first"), "id").where("first is null or first < source_first")
+    pairs = cut(pairs.select("source_id", "id", "score"))
+    answers = decisions.select(F.col("source_key").alias("source_id"), F.lower(F.coalesce("relation", F.lit(""))).alias("relation"), F.col("target_key").alias("target_id")).dropDuplicates(["source_id"])
+    waiting = answers.where("relation = 'equivalent'").join(fresh.select(F.col("key").alias("source_id"), "first"), "source_id").join(pairs.withColumnRenamed("id", "target_id"), ["source_id", "target_id"])
+    waiting = cut(waiting.select("source_id", "first", "target_id", F.col("score").alias("target_score")))
+    makes = _makers(waiting, pairs)
+    entries = names.select("key").join(makes.where("not makes"), "key", "left_anti").select(F.col("key").alias("id"))
+    candidates = cut(merged(pairs.join(entries, "id", "left_semi")))
+    asked = ambiguous(candidates, candidates.limit(0))
+    outcome = applied(asked, candidates, answers)
+    chosen = fresh.join(outcome.withColumnRenamed("source_id", "key"), "key", "left")
+    own = F.concat(F.lit("entry-"), F.substr(F.sha2("key", 256), F.lit(1), F.lit(12)))
+    ids = held.select("key", "entry_id").unionByName(chosen.where("status is null or status <> 'resolved'").select("key", own.alias("entry_id")))
+    same = chosen.where("status = 'resolved'").select("key", "target_id").join(ids.withColumnRenamed("key", "target_id"), "target_id").select("key", "entry_id")
+    known = ids.unionByName(same).join(chosen.select("key", "first", "status", "relation", F.col("target_id").alias("target_key")), "key", "left")
+    is_new = F.coalesce((F.col("first") == F.col("mention_id")) & (F.coalesce("status", F.lit("new")) != "resolved"), F.lit(False))
+    status = F.when(F.col("first").isNull(), "known").otherwise(F.coalesce("status", F.lit("new")))
+    return said.select("mention_id", "key").join(known, "key").select("mention_id", "entry_id", status.alias("status"), "relation", "target_key", is_new.alias("is_new"))
+
+
+def _makers(waiting: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, makes) of waiting(source_id, first, target_id, target_score): whether each makes an entry of its own."""
+    doubt = waiting.select(F.col("source_id").alias("id"), F.lit(True).alias("in_doubt"))
+    # what can change a name's outcome: candidates not below its target, or that pass the gate for it
+    near = pairs.join(waiting, "source_id").join(doubt, "id", "left").where(F.col("in_doubt").isNull() | (F.col("score") >= F.least("target_score", F.lit(LEXICAL_GATE))))
+    near = cut(near.select("source_id", F.struct(F.col("id").alias("key"), "score").alias("c"), F.coalesce("in_doubt", F.lit(False)).alias("in_doubt")))
+    order = Window.partitionBy("source_id").orderBy(F.desc("c.score"), "c.key")
+    definite = near.where("not in_doubt").withColumn("k", F.row_number().over(order)).where(F.col("k") <= CANDIDATES).groupBy("source_id").agg(F.collect_list("c").alias("definite"))
+    doubtful = near.where("in_doubt")
+    links = doubtful.select(F.col("source_id").alias("a"), F.col("c.key").alias("b"))
+    blocks = components(links.unionByName(waiting.select(F.col("source_id").alias("a"), F.col("source_id").alias("b"))))
+    turn = F.row_number().over(Window.partitionBy("component").orderBy("first")) - 1
+    placed = waiting.join(blocks.withColumnRenamed("node", "source_id"), "source_id").withColumn("slice", F.floor(turn / BLOCK_NAMES)).select("source_id", "first", "target_id", "component", "slice")
+    empty = F.array().cast("array<struct<key:string,score:double>>")
+    nodes = placed.join(definite, "source_id", "left").join(doubtful.groupBy("source_id").agg(F.collect_list("c").alias("doubtful")), "source_id", "left")
+    nodes = cut(nodes.select(F.col("source_id").alias("key"), "first", F.col("target_id").alias("target"), "component", "slice", F.coalesce("definite", empty).alias("definite"), F.coalesce("doubtful", empty).alias("doubtful")))
+    slices = (nodes.agg(F.max("slice")).first()[0] or 0) + 1
+    done = nodes.sparkSession.createDataFrame([], "key string, makes boolean")
+    for k in range(slices):
+        own = nodes.where(F.col("slice") == k)
+        of_earlier = own.select("key", F.explode("doubtful").alias("c")).select(F.col("key").alias("asker"), F.col("c.key").alias("key")).join(done, "key")
+        known = of_earlier.groupBy("asker").agg(F.collect_list(F.struct("key", "makes")).alias("known")).withColumnRenamed("asker", "key")
+        rows = own.join(known, "key", "left").withColumn("known", F.coalesce("known", F.array().cast("array<struct<key:string,makes:boolean>>")))
+        done = cut(done.unionByName(rows.groupBy("component", "slice").applyInPandas(_taken_in_order, "key string, makes boolean")))
+    return done

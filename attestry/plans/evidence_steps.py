@@ -403,27 +403,45 @@ def f9(spark, sf):
     return _vector_lane(spark, sf).groupBy("source_id").agg(F.count("*").alias("n"), F.round(1_000_000 * F.max("score")).cast("long").alias("best"), F.round(F.sum("score"), 3).alias("total"))
 
 
+#: Entries of one registry: a name, and the vector of its label where there is one.
+_ENTRY_VECTORS = f"(SELECT p_partkey AS id, e.v FROM part JOIN {_VECTORS} e ON e.id = p_partkey % 100)"
+_ENTRY_LANE = f"(SELECT a.id AS source_id, b.id, round(list_inner_product(a.v, b.v), 6) AS score FROM {_ENTRY_VECTORS} a JOIN (SELECT * FROM {_ENTRY_VECTORS} ORDER BY id LIMIT 100) b ON a.id <> b.id WHERE a.id % 20 = 0)"
+
+
+def _entry_lane(spark, sf):
+    given = table(spark, sf, "embeddings").select(F.col("vec_id").alias("label_id"), rt.unit(F.col("embedding")).alias("vector"))
+    entries = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).alias("label_id")).join(given, "label_id").select("id", "vector")
+    return rg.vector_candidates(entries.where("id % 20 = 0").withColumnRenamed("id", "source_id"), entries)
+
+
+@query("f8_lexical_scores")
+def f8_scores(spark, sf):
+    """The stated names against all, with the sequence ratio, which SQL can't express."""
+    entries = _names(spark, sf)
+    return rg.lexical_scores(entries.where("id % 20 = 0").withColumnRenamed("id", "source_id"), entries)
+
+
 def _lexical_scores(spark, sf):
     return _lexical(spark, sf).where("id <> source_id").select("source_id", "id", F.greatest("words", "grams").alias("score"))
 
 
 _SCORES = f"(SELECT source_id, id, greatest(words, grams) AS score FROM {_LEXICAL} WHERE id <> source_id)"
-_MERGED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, id) AS rank FROM (SELECT source_id, id, max(score) AS score FROM (SELECT * FROM {_SCORES} UNION ALL SELECT source_id, id, score FROM {_VECTOR_LANE}) GROUP BY 1, 2)) WHERE rank <= 8)"
+_MERGED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, id) AS rank FROM (SELECT source_id, id, max(score) AS score FROM (SELECT * FROM {_SCORES} UNION ALL SELECT source_id, id, score FROM {_ENTRY_LANE}) GROUP BY 1, 2)) WHERE rank <= 8)"
 
 
-@query("f10_merged_candidates", f"SELECT source_id, count(*) AS n, round(sum(score), 4) AS total, max(rank) AS last FROM {_MERGED} GROUP BY 1")
+@query("f10_merged_candidates", f"SELECT source_id, count(*) AS n, sum(cast(round(score * 1000000) AS bigint))::bigint AS total, max(rank) AS last FROM {_MERGED} GROUP BY 1")
 def f10(spark, sf):
-    """Both lanes (names and vectors share the numbers of their rows), the best eight of each source."""
-    best = rg.merged(_lexical_scores(spark, sf), _vector_lane(spark, sf))
-    return best.groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"), F.max("rank").alias("last"))
+    """Both lanes over one registry, the best eight of each source; scores add up as millionths."""
+    best = rg.merged(_lexical_scores(spark, sf), _entry_lane(spark, sf))
+    return best.groupBy("source_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 1_000_000).cast("long")).alias("total"), F.max("rank").alias("last"))
 
 
-_GATED = f"(SELECT source_id FROM {_SCORES} WHERE score >= 0.72 UNION SELECT source_id FROM {_VECTOR_LANE} WHERE score >= 0.90)"
+_GATED = f"(SELECT source_id FROM {_SCORES} WHERE score >= 0.72 UNION SELECT source_id FROM {_ENTRY_LANE} WHERE score >= 0.90)"
 
 
 @query("f11_ambiguity_gate", f"SELECT source_id FROM {_GATED}")
 def f11(spark, sf):
-    return rg.ambiguous(_lexical_scores(spark, sf), _vector_lane(spark, sf))
+    return rg.ambiguous(_lexical_scores(spark, sf), _entry_lane(spark, sf))
 
 
 _RELATION = "CASE source_id // 20 % 7 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'Broader' WHEN 2 THEN 'new' WHEN 3 THEN 'uncertain' WHEN 4 THEN 'identical' WHEN 5 THEN 'related' END"
@@ -438,7 +456,7 @@ _RELATION = "CASE source_id // 20 % 7 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'Broa
 )
 def f13(spark, sf):
     """Decisions about the gated names: some name no candidate, an unknown relation or nothing at all, and don't count."""
-    names_of, vectors = _lexical_scores(spark, sf), _vector_lane(spark, sf)
+    names_of, vectors = _lexical_scores(spark, sf), _entry_lane(spark, sf)
     candidates = rg.merged(names_of, vectors)
     turn = F.floor(F.col("source_id") / 20) % 7
     relation = F.when(turn == 0, "equivalent").when(turn == 1, "Broader").when(turn == 2, "new").when(turn == 3, "uncertain").when(turn == 4, "identical").when(turn == 5, "related")
@@ -459,6 +477,18 @@ def f15(spark, sf):
     return rg.observed(known, said, names.entity_key(F.col("label"))).select("mention_id", "entry_id", "is_new")
 
 
+@query("f15_names_in_order")
+def f15_names(spark, sf):
+    """Suppliers' names in order, of which every tenth is known, with decisions for most; SQL has no sequence ratio."""
+    said = views.entity_mentions(spark, sf).select(F.col("key").alias("mention_id"), F.col("name").alias("label"))
+    known = said.where("mention_id % 10 = 0").select(F.concat(F.lit("known-"), F.col("mention_id").cast("string")).alias("entry_id"), "label")
+    turn = F.col("mention_id") % 7
+    relation = F.when(turn < 3, "equivalent").when(turn == 3, "broader").when(turn == 4, "new").when(turn == 5, "identical")
+    target = F.concat(F.lit("supplier "), F.greatest(F.col("mention_id") - 1 - F.col("mention_id") % 3, F.lit(0)).cast("string"))
+    decided = said.where(relation.isNotNull()).select(names.entity_key(F.col("label")).alias("source_key"), relation.alias("relation"), target.alias("target_key"))
+    return rg.resolved_in_order(known, said, decided)
+
+
 @query("f17_observed_pairs", f"SELECT subject_key, predicate_key, n, concat('entry-', substr(sha256(subject_key), 1, 12)) AS entity_id, concat('entry-', substr(sha256(predicate_key), 1, 12)) AS predicate_id FROM (SELECT {_KEY.format('subject')} AS subject_key, predicate AS predicate_key, count(*) AS n FROM {CLAIMS} GROUP BY 1, 2)")
 def f17(spark, sf):
     """Each pair of subject and predicate that claims state, with its entries of the registry."""
