@@ -59,6 +59,12 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs sidebar widget widgets footer header masthead share sharing social related recommended recommendations "
     "comment comments disqus replies respond pagination pager toolbar search skip".split()
 )
+#: Words that say where or in what form something stands; a class or id is boilerplate's if all its words are these or NAMES.
+PLACES = frozenset(
+    "site page global main primary secondary top bottom left right inner outer upper lower fixed sticky floating mobile desktop box bar block "
+    "container wrapper wrap area section zone slot unit panel col column row list item items link links button buttons btn icon icons form "
+    "header footer text title label content group image img js ui c m l s xs sm md lg xl".split()
+) - frozenset(["content", "text", "title", "page"])
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
@@ -67,6 +73,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 ARTICLE, OPEN, BOILERPLATE = 0, 1, 2
+#: Boilerplate that stands as a block or within one: blocks inside the latter don't end the block around it.
+OUTSIDE, WITHIN = 1, 2
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -74,7 +82,7 @@ def _attributes(rest: str) -> dict[str, str]:
 
 
 def _boilerplate(name: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether an element and all in it is no content."""
+    """Whether an element and all in it is no content. in_article says whether it stands in an article or the main element."""
     if name in DROPPED or name == "header" and not in_article:
         return True
     if not attributes:
@@ -87,7 +95,8 @@ def _boilerplate(name: str, attributes: dict[str, str], in_article: bool) -> boo
     for named in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = [p.lower() for p in _NAME_PARTS.findall(named)]
         own_header = "header" in parts and (in_article or parts[0] in ("article", "post", "entry", "content", "page"))
-        if any(p in NAMES and not (p == "header" and own_header) for p in parts):
+        # one word of several, as in related-work, says nothing: the host's pages decide
+        if all(p in NAMES or p in PLACES for p in parts) and any(p in NAMES and not (p == "header" and own_header) for p in parts):
             return True
     return False
 
@@ -95,23 +104,29 @@ def _boilerplate(name: str, attributes: dict[str, str], in_article: bool) -> boo
 def blocks(page: str) -> list[tuple[str, int]]:
     """The blocks of a page in order: text with single spaces, and whether it is the article's, open or boilerplate.
 
-    A page without an article takes its main element for it.
+    A page without an article takes its main element for it. A boilerplate element within a block, as a link to share in a
+    sentence, doesn't end the block: its text is a block of its own after it.
     """
-    # open elements: name, in boilerplate, in an article, in main; where those of a name stand, and the block elements
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # open elements: name, in boilerplate (OUTSIDE, WITHIN), in an article, in main; where those of a name stand, and the block elements
+    stack: list[tuple[str, int, bool, bool]] = []
     of_name: dict[str, list[int]] = {}
     of_block: list[int] = []
-    drop = article = main = False
+    drop, article, main = 0, False, False
     found: list[tuple[str, bool, bool, bool]] = []
-    buffer: list[str] = []
+    kept: list[str] = []
+    lost: list[str] = []
     at, size = 0, len(page)
 
-    def flush() -> None:
-        if buffer:
-            text = " ".join(entities.unescape("".join(buffer)).split())
-            buffer.clear()
-            if text:
-                found.append((text, drop, article, main))
+    def add(text: str) -> None:
+        (lost if drop else kept).append(text)
+
+    def flush(state: int) -> None:
+        for buffer, out in ((kept, False), (lost, True)):
+            if buffer and (out or state != WITHIN):
+                text = " ".join(entities.unescape("".join(buffer)).split())
+                buffer.clear()
+                if text:
+                    found.append((text, out, article, main))
 
     def close(depth: int) -> None:
         nonlocal drop, article, main
@@ -120,19 +135,19 @@ def blocks(page: str) -> list[tuple[str, int]]:
             of_name[name].pop()
             if name in BLOCK:
                 of_block.pop()
-        _, drop, article, main = stack[-1] if stack else ("", False, False, False)
+        _, drop, article, main = stack[-1] if stack else ("", 0, False, False)
 
     while at < size:
         start = page.find("<", at)
         if start < 0:
-            buffer.append(page[at:])
+            add(page[at:])
             break
-        buffer.append(page[at:start])
+        add(page[at:start])
         token = _TOKEN.match(page, start)
         if token is None:  # a lone sign, or a tag that the page's end cuts off
             if re.match(r"</?[a-zA-Z]", page[start : start + 3]) and page.find(">", start) < 0:
                 break
-            buffer.append("<")
+            add("<")
             at = start + 1
             continue
         at = token.end()
@@ -140,10 +155,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if not name:
             continue
         if token["end"]:
-            if name in BLOCK:
-                flush()
-            if of_name.get(name):
-                close(of_name[name][-1])
+            depth = of_name[name][-1] if of_name.get(name) else len(stack)
+            if name in BLOCK:  # what is open within it ends as well
+                flush(stack[depth - 1][1] if 0 < depth < len(stack) else drop if depth else 0)
+            close(depth)
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
@@ -151,30 +166,30 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         if name in VOID:
             if name == "hr":
-                flush()
-            buffer.append(" ")
+                flush(drop)
+            add(" ")
             continue
         if name in ("td", "th"):
-            buffer.append(" ")
+            add(" ")
         if name in BLOCK:
-            flush()
+            flush(drop)
             while stack and stack[-1][0] in CLOSED_BY and name in CLOSED_BY[stack[-1][0]]:
                 close(len(stack) - 1)
-            if of_block and stack[of_block[-1]][0] == "p":  # a paragraph with open inline elements ends as well
+            # a paragraph with open inline elements ends as well, but for those that hold blocks of their own
+            if of_block and stack[of_block[-1]][0] == "p" and not (drop == WITHIN and any(of_name.get(n) and of_name[n][-1] > of_block[-1] for n in DROPPED)):
                 close(of_block[-1])
+            flush(drop)
         if token["rest"].endswith("/") and name not in BLOCK:
             continue
         attributes = _attributes(token["rest"]) if len(token["rest"]) > 1 else {}
-        dropped = drop or _boilerplate(name, attributes, article)
-        if dropped and not drop:
-            flush()
+        dropped = drop or (_boilerplate(name, attributes, article or main) and (OUTSIDE if name in BLOCK else WITHIN))
         inside = article or name == "article" or attributes.get("role") == "article" or "articlebody" in attributes.get("itemprop", "").lower()
         of_name.setdefault(name, []).append(len(stack))
         if name in BLOCK:
             of_block.append(len(stack))
         stack.append((name, dropped, inside, main or name == "main" or attributes.get("role") == "main"))
         _, drop, article, main = stack[-1]
-    flush()
+    flush(0)
     by_article = any(a and not d for _, d, a, _ in found)
     by_main = not by_article and any(m and not d for _, d, _, m in found)
     return [(t, BOILERPLATE if d else ARTICLE if (a and by_article) or (m and by_main) else BOILERPLATE if by_article or by_main else OPEN) for t, d, a, m in found]

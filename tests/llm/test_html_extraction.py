@@ -17,6 +17,26 @@ def test_markup():
     assert blocks("<main><p>in</main><p>out") == [("in", ARTICLE), ("out", BOILERPLATE)]
 
 
+def kept(html):
+    return [t for t, k in blocks(html) if k != BOILERPLATE]
+
+
+def test_boilerplate_within_a_block_neither_leaks_nor_parts_it():
+    for inner in ("<span class='advert'>BUY NOW</span>", "<a class='share'>BUY NOW</a>", "<select><option>BUY<option>NOW</select>", "<svg><text>BUY NOW</text></svg>", "<noscript>BUY NOW</noscript>", "<button>BUY NOW</button>", "<b style='display:none'>BUY NOW</b>", "<i hidden>BUY <b>NOW</b></i>"):
+        found = kept(f"<p>text {inner} more</p><p>end")
+        assert found == ["text more", "end"], inner
+    assert kept("<p>one <span class=ad>BUY</p><p>two") == kept("<p>one <span class=ad>BUY<p>two") == ["one", "two"]
+    assert kept("<article>one <button><p>BUY</p></button> two</article>x") == ["one two"]
+    assert kept("<p>one <span class=ad>BUY <b>NOW</b></span> two <span class=ad>x</span>three") == ["one two three"]
+
+
+def test_words_within_names_are_no_boilerplate():
+    for opened in ("<p class='ad-hoc'>", "<section id='related-work'>", "<div class='research-search-history'>", "<div class='article-share-text'>", "<p class='notification-theory'>", "<main><header><h1>", "<div class='roadmap'>"):
+        assert kept(f"{opened}told") == ["told"], opened
+    for opened in ("<div class='cookie-notice'>", "<div id='topAd'>", "<div class='share-buttons'>", "<ul class='x site-nav'>", "<div class='sidebar-widget'>", "<div id='comments'>", "<header><h1>", "<div role='banner'>"):
+        assert kept(f"{opened}told") == [], opened
+
+
 def test_host_decides_open_blocks(spark):
     plate = "All rights reserved by the makers of this site"
     rows = [(i, f"http://h{i % 2}.example/p{i}", f"<div>{plate}</div><div>Story number {i} is told here</div>") for i in range(4)]
