@@ -205,6 +205,32 @@ def b14(spark, sf):
     return lines.select("o_orderkey", F.array_join(F.regexp_extract_all(gr.without_dates(F.col("line")), F.lit(r"(\d[\d,]*(?:\.\d+)?)")), " ").alias("numbers"))
 
 
+_TOKENS = "regexp_extract_all(lower(text), '([a-z0-9]+)')"
+
+
+@query(
+    "b17_evidence_boxes",
+    rf"""WITH b AS (SELECT *, turn % 5 * 10 AS x0, turn * 12 AS top, turn % 5 * 10 + length(text) % 50 AS x1, turn * 12 + 10 AS bottom FROM {_LAYOUT}),
+  w AS (SELECT conv_id, unnest({_TOKENS}) AS token, unnest(range(len({_TOKENS}))) % 13 * 7 AS x0, turn * 12 AS top, turn * 12 + 9 AS bottom FROM b),
+  s AS (SELECT conv_id, max("end") // 3 + CASE WHEN conv_id % 3 = 0 THEN max("end") + 10 ELSE 0 END AS f, arg_min(text, start) AS text FROM b GROUP BY 1),
+  t AS (SELECT conv_id, unnest(list_distinct({_TOKENS}[:12])) AS token FROM s),
+  bb AS (SELECT s.conv_id, count(*) AS n, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom FROM s JOIN b ON b.conv_id = s.conv_id AND b.start < f + 80 AND f < b."end" GROUP BY 1),
+  wb AS (SELECT conv_id, min(x0) AS x0, min(top) AS top, max(x0 + 5) AS x1, max(bottom) AS bottom FROM t JOIN w USING (conv_id, token) GROUP BY 1)
+  SELECT conv_id, substr(trim(regexp_replace(s.text, '\s+', ' ', 'g')), 1, 1000) AS excerpt, coalesce(n, 0) AS n_blocks, coalesce(bb.x0, wb.x0) AS x0, coalesce(bb.top, wb.top) AS top, coalesce(bb.x1, wb.x1) AS x1, coalesce(bb.bottom, wb.bottom) AS bottom,
+    CASE WHEN bb.x0 IS NULL AND wb.x0 IS NULL THEN 'page-only' ELSE 'word-region' END AS precision FROM s LEFT JOIN bb USING (conv_id) LEFT JOIN wb USING (conv_id)""",
+)
+def b17_boxes(spark, sf):
+    """A window on each page and its first block's text as excerpt; every third window lies beyond the blocks, so that words give its box."""
+    x0, top = F.col("turn") % 5 * 10, F.col("turn") * 12
+    blocks = layout(spark, sf).select(F.col("conv_id").alias("page_id"), F.col("turn").alias("block_id"), "start", "end", "text", x0.alias("x0"), top.alias("top"), (x0 + F.length("text") % 50).alias("x1"), (top + 10).alias("bottom"), "turn")
+    tokens = F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"))).alias("i", "word")
+    words = blocks.select("page_id", "turn", tokens).select("page_id", "word", (F.col("i") % 13 * 7).alias("x0"), (F.col("turn") * 12).alias("top"), (F.col("i") % 13 * 7 + 5).alias("x1"), (F.col("turn") * 12 + 9).alias("bottom"))
+    total = F.max("end")
+    start = F.floor(total / 3) + F.when(F.col("page_id") % 3 == 0, total + 10).otherwise(0)
+    spans = blocks.groupBy("page_id").agg(start.alias("start"), F.min_by("text", "start").alias("text")).select(F.col("page_id").alias("span_id"), "page_id", "start", (F.col("start") + 80).alias("end"), "text")
+    return gr.evidence_boxes(spans, blocks, words).drop("printed_page").withColumnRenamed("span_id", "conv_id")
+
+
 @query(
     "b17_evidence_windows",
     f"""WITH b AS (SELECT *, turn % 5 * 10 AS x0, turn * 12 AS top, turn % 5 * 10 + length(text) % 50 AS x1, turn * 12 + 10 AS bottom FROM {_LAYOUT}),
@@ -263,6 +289,26 @@ def d7(spark, sf):
     return kept.select("item_id", "found_page", "found_start", "found_end", F.when(F.col("found_page") % 2 == 0, "block-region").otherwise("page-only").alias("precision"))
 
 
+@query(
+    "d7_evidence_shapes",
+    rf"""SELECT i.item_id, i.raw_value, f.found_page, f.found_start FROM {_ITEMS} i JOIN {_FOUND} f USING (item_id)
+  WHERE subject <> '' AND raw_value <> '' AND requested_status IS NULL AND contains(quote, regexp_extract(raw_value, '(\d[\d,]*(?:\.\d+)?)', 1)) AND i.item_id % 6 <> 4""",
+)
+def d7_shapes(spark, sf):
+    """The items as a model writes them, in six shapes: flat, nested, lists of pages, pages as text, values as lists, and evidence of no use."""
+    k, page = F.col("item_id") % 6, F.col("page")
+    same = ("subject", "predicate", "requested_status", "unit")
+    flat = F.to_json(F.struct(F.col("quote").alias("evidence"), page.alias("pdf_page"), "raw_value", *same))
+    nested = F.to_json(F.struct(F.struct(F.col("quote").alias("text"), page.alias("pdf_page")).alias("evidence"), "raw_value", *same))
+    paged_ = F.to_json(F.struct(F.struct(F.col("quote").alias("text"), F.array(page, page + 1).alias("pdf_page")).alias("evidence"), F.lit(7).alias("pdf_page"), "raw_value", *same))
+    beside = F.to_json(F.struct(F.struct(F.col("quote").alias("text"), F.lit("").alias("pdf_page")).alias("evidence"), page.cast("string").alias("pdf_page"), "raw_value", *same))
+    useless = F.to_json(F.struct(F.array("quote").alias("evidence"), "raw_value", *same))
+    listed = F.to_json(F.struct(F.struct(F.col("quote").alias("text"), page.alias("pdf_page")).alias("evidence"), F.array("raw_value").alias("raw_value"), *same))
+    body = F.when(k == 0, flat).when(k == 1, nested).when(k == 2, paged_).when(k == 3, beside).when(k == 4, useless).otherwise(listed)
+    read = gr.model_items(items(spark, sf).select("item_id", "document_id", body.alias("body")))
+    return gr.validated(read, sections(spark, sf)).select("item_id", "raw_value", "found_page", "found_start")
+
+
 @query("d8_visual_claims", f"SELECT item_id, true_page + 1 AS pdf_page, 'visual-region' AS kind, 'visual-region' AS precision FROM {_ITEMS} WHERE quote <> '' AND requested_status IS NULL")
 def d8(spark, sf):
     """Admissible items of a page read as a picture: their evidence is a region of the following page number."""
