@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.base import chunked, cut_lineage, join_hot, unused
+from attestry.llm.base import chunked, cut_lineage, join_hot, mix, unused
+from attestry.llm.blocks import BROADCAST_KEYS, checked, linked_groups
 from attestry.llm.graph import components
 
 #: Generator polynomial of the binary Golay code of length 23 and distance 7 (a fixed value).
@@ -29,8 +30,8 @@ GOLAY_POLYNOMIAL = 0b101011100011
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _BIT_CHUNK = 1 << 16
-#: A side of at most so many rows (some 30 bytes each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Band keys of a set, and the minima that each is made of.
+BANDS, BAND_ROWS = 16, 5
 
 
 def word_shingles(text: bytes, size: int) -> list[bytes]:
@@ -41,11 +42,15 @@ def word_shingles(text: bytes, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
-def simhash(text: bytes, size: int = 3) -> int:
-    """A bit is 1 if more than half of the shingles' XXH64 have it; 0 for a text without words."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The XXH64 of each shingle of a text, repeats included."""
     shingles = word_shingles(text, size)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if more than half of the hashes have it; 0 for none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BIT_CHUNK):
         part = hashes[at : at + _BIT_CHUNK].view(np.uint8).reshape(-1, 8)
@@ -53,6 +58,11 @@ def simhash(text: bytes, size: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def simhash(text: bytes, size: int = 3) -> int:
+    """A bit is 1 if more than half of the shingles' XXH64 have it; 0 for a text without words."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, text_key, fp) for each row: text_key is the text's XXH64, fp the fingerprint as a signed long.
 
@@ -134,43 +144,74 @@ def linked(fps: DataFrame) -> DataFrame:
     return met.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b").distinct()
 
 
-def shingle_hashes(texts: DataFrame, size: int) -> DataFrame:
-    """(fp, shingles) of texts(fp, text): the distinct hashes of a text's shingles, in order."""
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys of each set of hashes, none of them empty: each mixes the minima of BAND_ROWS hash functions."""
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    factors, keys = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(2, BANDS, BAND_ROWS), []
+    for band in range(BANDS):
+        key = np.full(len(sets), band, np.uint64)
+        for row in range(BAND_ROWS):
+            key = mix(key ^ np.minimum.reduceat(flat * (factors[0, band, row] | np.uint64(1)) + factors[1, band, row], starts))
+        keys.append(key)
+    return np.stack(keys, axis=1)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, text_key, cls, fp, n, keys) for each row, by the set of its text's shingles: a hash of all of it, which names
+    texts of equal sets, its SimHash, its size and its band keys. The empty set has no keys. A null text counts as empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, size)) for t in pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()]
+            cls = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+            fp = np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)
+            n = np.array([len(s) for s in sets], np.int64)
+            filled = [s for s in sets if len(s)]
+            keys = band_keys(filled).view(np.int64).ravel() if filled else np.zeros(0, np.int64)
+            ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
+            columns = [batch.column("id"), batch.column("text_key"), pa.array(cls), pa.array(fp), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "cls", "fp", "n", "keys"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return rows.mapInArrow(run, "id long, text_key long, cls long, fp long, n long, keys array<long>")
+
+
+def _hashed(texts: DataFrame, size: int) -> DataFrame:
+    """(cls, shingles) of texts(cls, text): the distinct hashes of a text's shingles, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in chunked(batches, "text"):
-            own = [np.unique(np.fromiter((digest(s, SEED) for s in word_shingles(t, size)), np.uint64)).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(own, pa.list_(pa.int64()))], ["fp", "shingles"])
+            own = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(own, pa.list_(pa.int64()))], ["cls", "shingles"])
 
-    return texts.mapInArrow(run, "fp long, shingles array<long>")
+    return texts.mapInArrow(run, "cls long, shingles array<long>")
 
 
-def verified(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of edges(a, b) whose texts' shingles have a Jaccard similarity of `least`; classes(fp, any) names a row of each fp."""
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", "any.*")
-    wanted = cut_lineage(wanted)
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of pairs(a, b) whose texts' shingles have a Jaccard similarity of `least`; classes(cls, first) names a row of each."""
+    pairs = cut_lineage(pairs)
+    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "first.*"), "cls"))
+    wanted = checked(wanted.select("cls", F.col("id").alias("first_id"), F.col("text_key").alias("first_key")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    texts = rows.join(wanted, rows.id.eqNullSafe(wanted.none_or_id) & (rows.key == wanted.text_key)).select("fp", "text").dropDuplicates(["fp"])
-    sets = cut_lineage(shingle_hashes(texts, size))
-    both = edges.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    texts = rows.join(wanted, rows.id.eqNullSafe(wanted.first_id) & (rows.key == wanted.first_key)).select("cls", "text")
+    sets = cut_lineage(_hashed(texts, size).dropDuplicates(["cls"]))
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
-def _grouped(rows: DataFrame, check=None) -> DataFrame:
-    """rows(id, text_key, fp) with component, the smallest id of a group, and grp, its smallest fp. check filters the edges."""
-    first = F.struct(F.col("id").alias("none_or_id"), "text_key")
-    classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least"), F.min(first).alias("any"), F.count("*").alias("n")))
-    edges = linked(classes)
-    found = cut_lineage(components(check(cut_lineage(edges), classes) if check else edges))
-    named = classes.join(found, classes.fp == found.node).groupBy("component").agg(F.min("least").alias("name"), F.min("fp").alias("grp"), F.count("*").alias("n"))
-    renamed = join_hot(found, named, "component", found.count()).select(F.col("node").alias("fp"), "name", "grp")
-    names = classes.join(renamed, "fp", "left").select("fp", "n", F.coalesce("name", "least").alias("component"), F.coalesce("grp", "fp").alias("grp"))
-    return join_hot(rows, names, "fp", rows.count())
+def golay_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes(cls, fp) whose fingerprints differ in two bits at most, as stars."""
+    hubs = cut_lineage(classes.groupBy("fp").agg(F.min("cls").alias("hub"), F.count("*").alias("n")))
+    equal = join_hot(classes.select("fp", "cls"), hubs, "fp", classes.count()).where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    a, b = (hubs.select(F.col("fp").alias(x), F.col("hub").alias(f"{x}_hub")) for x in "ab")
+    near = linked(hubs).join(a, "a").join(b, "b").select(F.col("a_hub").alias("a"), F.col("b_hub").alias("b"))
+    both = equal.unionByName(near)
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -180,20 +221,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows each come back. Null ids never name a component unless nothing else is in it. Columns besides the
     two named ones are ignored; an empty table gives an empty result.
     """
-    return _grouped(cut_lineage(fingerprints(docs, id_col, text_col, size))).select("id", "fp", "component")
+    rows = cut_lineage(fingerprints(docs, id_col, text_col, size))
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    found = cut_lineage(components(linked(classes)))
+    named = classes.join(found, classes.fp == found.node).groupBy("component").agg(F.min("least").alias("name"), F.count("*").alias("n"))
+    renamed = join_hot(found, named, "component", found.count()).select(F.col("node").alias("fp"), "name")
+    names = classes.join(renamed, "fp", "left").select("fp", "n", F.coalesce("name", "least").alias("component"))
+    return join_hot(rows, names, "fp", rows.count()).select("id", "fp", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """One row of docs of each group of near duplicates, with its columns (of any names): that with the smallest id.
 
-    Rows whose fingerprints of five-word shingles are equal, or differ in at most two bits while their shingles are 0.8
-    similar, are near duplicates. Null texts count as empty. Null ids come last, ties go to the smaller hash of the text,
-    and of rows repeated entirely one stays. An empty table gives an empty table.
+    Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 are near duplicates; texts without words are
+    too. Equal sets are one. Golay keys find the sets whose SimHashes differ in two bits at most. At similarity 0.8 they
+    differ in 10 of 64, which no Golay key outlives, so band keys, each of the minima of five hash functions, find the
+    others: one of 16 is common to 99.8 % of pairs at 0.8, and to more above. All candidates are verified exactly.
+
+    Null texts count as empty. Null ids come last, ties go to the smaller hash of the text, and of rows repeated entirely
+    one stays. An empty table gives an empty table.
     """
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, size))
+    rows = cut_lineage(shingle_sets(docs, id_col, text_col, size))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
-    check = lambda edges, classes: verified(edges, docs, id_col, text_col, classes, size, least)
-    first = cut_lineage(_grouped(rows, check).groupBy("grp").agg(F.min(place).alias("first")))
+    own = [F.first(c).alias(c) for c in ("fp", "n", "keys")]
+    classes = cut_lineage(rows.groupBy("cls").agg(F.min(place).alias("first"), *own))
+    each = classes.select(F.col("cls").alias("line"), "n", "fp", F.explode("keys").alias("key"))
+    shared = checked(cut_lineage(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")), BROADCAST_KEYS)
+    keyed = cut_lineage(each.join(shared, "key", "left_semi"))
+    verify = lambda pairs: verified(pairs, docs, id_col, text_col, classes, size, least)
+    groups = cut_lineage(linked_groups(keyed, verify, least, golay_pairs(classes.where("n > 0"))))
+    named = classes.join(groups, classes.cls == groups.line, "left").select(F.coalesce("grp", "cls").alias("grp"), "first")
+    first = cut_lineage(named.groupBy("grp").agg(F.min("first").alias("first")))
     names = [unused(docs, n) for n in ("first_id", "first_key", "text_hash")]
     chosen = first.select(F.col("first.id"), F.col("first.text_key")).toDF(*names[:2])
     marked = docs.withColumn(names[2], F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
