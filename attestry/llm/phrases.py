@@ -4,44 +4,59 @@ R1 holds the words' occurrences, sorted by piece and position; Rk those of phras
 R(k-1) with itself at adjacent positions of a piece, is counted by phrase, and loses the occurrences of phrases that are
 too rare by a semi-join before it is extended. All relations are persisted in blocks of documents: a row holds a block's
 occurrences in order, with a slot for each word and one without a word between pieces, so that the merge-join of a block is
-a shift by one slot. Counting and the semi-join go over the blocks' distinct phrases: a window by phrase adds their counts
-up and names the phrase by one of its blocks, and what is frequent goes back to the blocks by a join. A phrase has one row
-a block, so no phrase, however frequent, is a hot key; nothing is broadcast.
+a shift by one slot. Counting goes over the blocks' distinct phrases, which are dealt into parts by their hash: a row holds
+a block's phrases of one part, sorted and packed, and a part, of bounded size, adds up and names its frequent phrases and
+answers each block with the places of its own. A phrase has one entry a block, so no phrase, however frequent, is a hot
+key; nothing is broadcast.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.llm.base import chunked, shared_folder, translated
+from attestry.llm.base import chunked, mix, shared_folder, translated
 
 #: Bytes that end a piece become line feeds, tabs spaces, A-Z lower case.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Text of a block (a longer document is a block of its own). Blocks are numbered by 20 bits of the partition and 12 within.
 BLOCK_BYTES = 6 << 20
-_BLOCKS, _KEYS = 12, 31
-#: A relation has a row of slots for each block and, with slots null, a row for each of its distinct phrases.
-_ROWS = "block long, slots array<int>, place int, n long"
-_BATCH = 1 << 16
-
-
-def _rows(block: int, slots: np.ndarray, times: np.ndarray, **names: pa.Array) -> Iterator[pa.RecordBatch]:
-    """The rows of a block: its slots, and its phrases by place."""
-    none = {k: pa.nulls(1, v.type) for k, v in names.items()}
-    slots_row = {"block": pa.array([block]), "slots": pa.array([slots], pa.list_(pa.int32())), "place": pa.nulls(1, pa.int32()), "n": pa.nulls(1, pa.int64())}
-    yield pa.RecordBatch.from_pydict(slots_row | none)
-    for start in range(0, len(times), _BATCH):
-        part = slice(start, start + _BATCH)
-        places, own = pa.array(np.arange(start, start + len(times[part]), dtype=np.int32)), {k: v[part] for k, v in names.items()}
-        yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(places), block)), "slots": pa.nulls(len(places), pa.list_(pa.int32())), "place": places, "n": pa.array(times[part])} | own)
+_BLOCKS, _KEYS = 12, 32
+#: The text whose phrases make a part, so that a task that counts holds some two million entries.
+PART_BYTES = 32 << 20
+#: A relation has a row of slots for each block and, with slots null, a row for the block's phrases of each part, the first of
+#: which has the place `start`.
+_ROWS = pa.schema([("block", pa.int64()), ("slots", pa.binary()), ("part", pa.int32()), ("start", pa.int32()), ("keys", pa.binary()), ("words", pa.binary())])
+_RELATION = "block long, slots binary, part int, start int, keys binary, words binary"
+#: A part's answers (block, part, places), its frequent phrases (name, ...) and, of words, how many each language has (lang, n).
+_ANSWERS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("places", pa.binary()), ("name", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of as many whole numbers each, by the places of their bytes, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
+
+
+def _unpack(packed: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in planes]
+
+
+def _rows(block: int, slots: np.ndarray, parts: np.ndarray, packed: Callable[[slice], tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block: its slots, and its phrases, which are sorted by part; packed gives keys and words of some."""
+    cuts = [*np.flatnonzero(np.diff(parts, prepend=-1)).tolist(), len(parts)]
+    found = [(block, _pack(slots), None, None, None, None)]
+    found += [(block, None, int(parts[start]), start, *packed(slice(start, end))) for start, end in zip(cuts, cuts[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _ROWS)], schema=_ROWS)
     pa.default_memory_pool().release_unused()
 
 
@@ -68,55 +83,120 @@ def _words(texts: pa.Array, langs: np.ndarray) -> tuple[np.ndarray, pa.Dictionar
     return lang, flat.filter(full).dictionary_encode()
 
 
-def _first(docs: DataFrame) -> DataFrame:
+def _first(docs: DataFrame, parts: int) -> DataFrame:
     """R1 of docs(lang, text): a block's slots hold 1 + the place of a word among the block's words, or 0 at a piece's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, part in enumerate(_blocks(batches)):
+        for number, table in enumerate(_blocks(batches)):
             if number >> _BLOCKS or task >> 20:
                 raise ValueError("more blocks or partitions than their numbers hold: use more, or fewer, partitions")
-            langs = part.column("lang").combine_chunks().dictionary_encode()
-            lang, words = _words(part.column("text").combine_chunks(), langs.indices.to_numpy(zero_copy_only=False))
+            langs = table.column("lang").combine_chunks().dictionary_encode()
+            lang, words = _words(table.column("text").combine_chunks(), langs.indices.to_numpy(zero_copy_only=False))
             codes, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary
             real = pc.not_equal(names, "\n").to_numpy(zero_copy_only=False)[codes]
             keys, places, times = np.unique(lang[real].astype(np.int64) * len(names) + codes[real], return_inverse=True, return_counts=True)
-            slots = np.zeros(len(codes), np.int32)
-            slots[real] = places + 1
-            lang_of, word_of = langs.dictionary.take(pa.array(keys // len(names))), names.take(pa.array(keys % len(names)))
-            yield from _rows(task << _BLOCKS | number, slots, times, lang=lang_of, word=word_of)
+            # a word has no space, so the last one ends the language
+            text = pc.binary_join_element_wise(langs.dictionary.take(pa.array(keys // max(1, len(names)))), names.take(pa.array(keys % max(1, len(names)))), " ")
+            part = np.fromiter((xxhash.xxh64_intdigest(x) % parts for x in text.to_pylist()), np.int64, len(text))
+            order = pc.sort_indices(text).to_numpy()
+            order = order[np.argsort(part[order], kind="stable")]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(1, len(order) + 1)
+            slots = np.zeros(len(codes), np.int64)
+            slots[real] = place[places]
+            text, times = text.take(pa.array(order)), times[order]
 
-    return docs.mapInArrow(run, _ROWS + ", lang string, word string")
+            def packed(some: slice) -> tuple[bytes, bytes]:
+                own = text[some]
+                return _pack(pc.binary_length(own).to_numpy(zero_copy_only=False), times[some]), zstandard.compress("".join(own.to_pylist()).encode())
 
+            yield from _rows(task << _BLOCKS | number, slots, part[order], packed)
 
-def _next(blocks: DataFrame) -> DataFrame:
-    """The merge-join of blocks(block, slots, places, names) at adjacent slots; places of phrases that stay, and their names."""
+    return docs.mapInArrow(run, _RELATION)
+
+
+def _next(blocks: DataFrame, parts: int) -> DataFrame:
+    """The merge-join of blocks(block, slots, kept) at adjacent slots; kept has the parts' answers, what stays and its names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                slots = batch.column("slots")[i].values.to_numpy(zero_copy_only=False)
-                places = batch.column("places")[i].values.to_numpy(zero_copy_only=False)
-                names = batch.column("names")[i].values.to_numpy(zero_copy_only=False)
-                order = np.zeros(int(slots.max(initial=0)) + 1, np.int64)
-                order[places + 1] = np.arange(1, len(places) + 1)
-                kept = order[slots]
-                at = np.flatnonzero((kept[:-1] > 0) & (kept[1:] > 0))
-                keys, of, times = np.unique((kept[at] - 1) * len(names) + kept[at + 1] - 1, return_inverse=True, return_counts=True)
-                longer = np.zeros(len(slots), np.int32)
-                longer[at] = of + 1
+            for block, packed_slots, kept in zip(*(batch.column(c) for c in ("block", "slots", "kept"))):
+                slots = _unpack(packed_slots.as_py(), 1)[0]
+                answers = [(x["part"], *_unpack(x["places"], 2)) for x in kept.as_py()]
+                places, names = np.concatenate([a[1] for a in answers]), np.concatenate([(a[0] << _KEYS) + a[2] for a in answers])
+                rank = np.zeros(max(int(slots.max(initial=0)), int(places.max(initial=0)) + 1) + 1, np.int64)
+                rank[places + 1] = np.arange(1, len(places) + 1)
+                known = rank[slots]
+                at = np.flatnonzero((known[:-1] > 0) & (known[1:] > 0))
+                keys, of, times = np.unique((known[at] - 1) * len(names) + known[at + 1] - 1, return_inverse=True, return_counts=True)
                 head, tail = names[keys // max(1, len(names))], names[keys % max(1, len(names))]
-                yield from _rows(batch.column("block")[i].as_py(), longer, times, head=pa.array(head, pa.int64()), tail=pa.array(tail, pa.int64()))
-
-    return blocks.select("block", "slots", "places", "names").mapInArrow(run, _ROWS + ", head long, tail long")
-
-
-def _frequent(counted: DataFrame, by: list[str], least: int) -> DataFrame:
-    """counted(block, place, n, *by), those rows whose n comes to `least` over all blocks: with that sum and a name."""
-    alike = Window.partitionBy(*by)
-    own = F.shiftleft("block", _KEYS).bitwiseOR(F.col("place").cast("long"))
-    summed = counted.select("block", "place", *by, F.sum("n").over(alike).alias("n"), F.min(own).over(alike).alias("name"), own.alias("own"))
-    return summed.where(F.col("n") >= least)
+                part = (mix(mix(head.view(np.uint64)) ^ tail.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((tail, head, part))
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(1, len(order) + 1)
+                longer = np.zeros(len(slots), np.int64)
+                longer[at] = place[of]
+                head, tail, times = head[order], tail[order], times[order]
+                # heads are in order: their steps are small
+                yield from _rows(block.as_py(), longer, part[order], lambda some: (_pack(np.diff(head[some], prepend=0), tail[some], times[some]), None))
+
+    return blocks.select("block", "slots", "kept").mapInArrow(run, _RELATION)
+
+
+def _numbered(entries: list[list[np.ndarray]], words: list[bytes | None]) -> tuple[np.ndarray, pa.Table]:
+    """The number of each entry's phrase, and the phrases by number: (lang, word) of words, (head, tail) of longer ones."""
+    if words[0] is not None:
+        offsets = [np.concatenate(([0], np.cumsum(x[0]))).astype(np.int64) for x in entries]
+        text = [pa.LargeStringArray.from_buffers(len(o) - 1, pa.py_buffer(o), pa.py_buffer(zstandard.decompress(w))) for o, w in zip(offsets, words)]
+        encoded = pa.concat_arrays(text).dictionary_encode()
+        both = pc.split_pattern(encoded.dictionary.cast(pa.string()), " ", max_splits=1, reverse=True)
+        return encoded.indices.to_numpy(zero_copy_only=False), pa.table({"lang": pc.list_element(both, 0), "word": pc.list_element(both, 1)})
+    head, tail = np.concatenate([np.cumsum(x[0]) for x in entries]), np.concatenate([x[1] for x in entries])
+    order = np.lexsort((tail, head))
+    head, tail = head[order], tail[order]
+    new = np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))
+    ids = np.empty(len(order), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    return ids, pa.table({"head": head[new], "tail": tail[new]})
+
+
+def _frequent(relation: DataFrame, least: int) -> DataFrame:
+    """What the parts of a relation answer: phrases that occur `least` times over all blocks, and where the blocks have them."""
+
+    def filled(**columns: pa.Array) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        return pa.table([pa.chunked_array([], f.type) if not n else columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ANSWERS], schema=_ANSWERS)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part, words = key[0].as_py(), table["words"].to_pylist()
+        entries = [_unpack(x, 3 if words[0] is None else 2) for x in table["keys"].to_pylist()]
+        ids, phrases = _numbered(entries, words)
+        times = np.concatenate([x[-1] for x in entries])
+        sums = np.zeros(len(phrases), np.int64)
+        np.add.at(sums, ids, times)
+        often = np.flatnonzero(sums >= least)
+        number = np.full(len(phrases), -1, np.int64)
+        number[often] = np.arange(len(often))
+        own, end, answers = number[ids], 0, []
+        for block, start, entry in zip(table["block"].to_pylist(), table["start"].to_pylist(), entries):
+            numbers = own[end : end + len(entry[0])]
+            end += len(entry[0])
+            at = np.flatnonzero(numbers >= 0)
+            if len(at):
+                answers.append((block, _pack(start + at, numbers[at])))
+        found = phrases.take(pa.array(often))
+        named = filled(name=pa.array((part << _KEYS) + number[often]), n=pa.array(sums[often]), **{c: found[c] for c in found.column_names})
+        told = filled(block=pa.array([b for b, _ in answers], pa.int64()), part=pa.array([part] * len(answers), pa.int32()), places=pa.array([x for _, x in answers], pa.binary()))
+        if words[0] is None:
+            return pa.concat_tables([told, named])
+        lang = phrases["lang"].combine_chunks().dictionary_encode()
+        totals = np.zeros(len(lang.dictionary), np.int64)
+        np.add.at(totals, lang.indices.to_numpy(zero_copy_only=False), sums)
+        return pa.concat_tables([told, named, filled(lang=lang.dictionary, n=pa.array(totals))])
+
+    schema = "block long, part int, places binary, name long, head long, tail long, lang string, word string, n long"
+    return relation.where("slots is null").groupBy("part").applyInArrow(run, schema)
 
 
 def _score(rows: DataFrame) -> DataFrame:
@@ -150,20 +230,18 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, text_col:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    def counted(relation: DataFrame, *by: str) -> DataFrame:
-        return relation.where("slots is null").select("block", "place", "n", *by)
-
-    occurrences = persisted(_first(docs.select(lang.alias("lang"), text.alias("text"))), "1")
-    totals = persisted(counted(occurrences, "lang").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    stay = persisted(_frequent(counted(occurrences, "lang", "word"), ["lang", "word"], least), "1-frequent")
-    known = stay.where("own = name").select("name", "lang", F.col("word").alias("phrase"), F.col("n").alias("a"), F.array("n").alias("firsts"), F.array("n").alias("lasts"))
+    parts = max(16, -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART_BYTES))
+    occurrences = persisted(_first(docs.select(lang.alias("lang"), text.alias("text")), parts), "1")
+    stay = persisted(_frequent(occurrences, least), "1-frequent")
+    totals = stay.where("block is null and name is null").groupBy("lang").agg(F.sum("n").alias("total"))
+    known = stay.where("name is not null").select("name", "lang", F.col("word").alias("phrase"), F.col("n").alias("a"), F.array("n").alias("firsts"), F.array("n").alias("lasts"))
     found = None
     for k in range(2, longest + 1):
-        kept = stay.groupBy("block").agg(F.collect_list(F.struct("place", "name")).alias("kept"))
-        blocks = occurrences.where("slots is not null").select("block", "slots").join(kept, "block").select("block", "slots", F.col("kept.place").alias("places"), F.col("kept.name").alias("names"))
-        occurrences = persisted(_next(blocks), str(k))
-        stay = persisted(_frequent(counted(occurrences, "head", "tail"), ["head", "tail"], least), f"{k}-frequent")
-        new = stay.where("own = name").select("name", "head", "tail", F.col("n").alias("a"))
+        kept = stay.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "places")).alias("kept"))
+        blocks = occurrences.where("slots is not null").select("block", "slots").join(kept, "block")
+        occurrences = persisted(_next(blocks, parts), str(k))
+        stay = persisted(_frequent(occurrences, least), f"{k}-frequent")
+        new = stay.where("name is not null").select("name", "head", "tail", F.col("n").alias("a"))
         if new.isEmpty():
             break
         heads = known.select(F.col("name").alias("head"), "lang", F.col("phrase").alias("begin"), "firsts")

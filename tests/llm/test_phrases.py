@@ -53,6 +53,7 @@ def frame(spark, rows):
 
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK_BYTES", 2000)  # many blocks
+    monkeypatch.setattr(phrases, "PART_BYTES", 1000)  # and parts
     rows = drawn()
     for least, longest in ((12, 5), (40, 3)):
         found = phrases.collocations(frame(spark, rows), least, longest)
