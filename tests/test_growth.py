@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestry.operators import families as fam
 from attestry.operators import relations as rel
 from attestry.plans import claims_to_gate as core
+from attestry.plans import review_and_runs as runs
 
 
 def claims_of(spark, n=400):
@@ -73,3 +74,10 @@ def test_no_pair_is_joined_with_pairs(spark):
         plan = plan_of(query(spark, folder))
         assert plan.count("Relation") == 2 and plan.count("Join") == 1  # the claims' lists and their flags
     assert plan_of(core.h12_deactivated(spark, folder)).count("Relation") == 1
+
+
+def test_archived_facts_come_from_one_history(spark):
+    """What an archive touches is counted where the families are formed, and memberships take their state from there."""
+    folder = "/root/testdata/sf0.001"
+    assert plan_of(runs.j4_versions(spark, folder)).count("Relation") == 2
+    assert plan_of(runs.j4_memberships(spark, folder)).count("Relation") == 2
