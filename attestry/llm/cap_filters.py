@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from attestry.llm.base import cut_lineage
 from attestry.llm.graph import components
@@ -103,7 +104,8 @@ def _unit(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _met(classes: DataFrame, words: int, codes: int) -> DataFrame:
-    """(rep, dims, sketch, filters) of classes(rep, vector)."""
+    """(rep, dims, sketch, filters) of classes(rep, vector); filters are ints as long as their numbers are."""
+    wide = codes * words * words >= 1 << 31
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, list[Filters]] = {}
@@ -118,19 +120,20 @@ def _met(classes: DataFrame, words: int, codes: int) -> DataFrame:
                     keys = np.concatenate([own + code * words * words for code, (own, _) in enumerate(each)], axis=1)
                     sketch = each[0][1]
                     part = rows[at : at + 2048]
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[part]), pa.array([dims] * len(part), pa.int32()), pa.array(sketch), pa.array(list(keys), pa.list_(pa.int64()))], ["rep", "dims", "sketch", "filters"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[part]), pa.array([dims] * len(part), pa.int32()), pa.array(sketch), pa.array(list(keys), pa.list_(pa.int64() if wide else pa.int32()))], ["rep", "dims", "sketch", "filters"])
 
-    return classes.select("rep", "vector").mapInArrow(run, "rep long, dims int, sketch long, filters array<long>")
+    return classes.select("rep", "vector").mapInArrow(run, f"rep long, dims int, sketch long, filters array<{'long' if wide else 'int'}>")
 
 
 def _verify(rows: DataFrame, cosine: float) -> DataFrame:
     """(rep, links, root) from rows(key, low, high, chunk, rep, n, vector, filters), sorted by (key, low, high).
 
+    filters are those before the row's own, in order.
     links is the weight of a vector's links that are counted here: a pair counts in its smallest common filter only.
     root is a vector that rep is connected with by links found here.
     """
 
-    def block(keys: int, chunk: np.ndarray, low: int, high: int, rep: np.ndarray, n: np.ndarray, x: np.ndarray, filters: list) -> tuple:
+    def block(chunk: np.ndarray, low: int, high: int, rep: np.ndarray, n: np.ndarray, x: np.ndarray, filters: list) -> tuple:
         close = x @ x.T >= cosine
         np.fill_diagonal(close, False)
         if low != high:  # pairs within a chunk are another step's
@@ -139,10 +142,9 @@ def _verify(rows: DataFrame, cosine: float) -> DataFrame:
         counts = np.zeros(len(rep), np.int64)
         if len(i):
             width = max(map(len, filters))
-            own = np.full((len(rep), width), -1, np.int64)
+            before = np.full((len(rep), width), -1, np.int64)
             for k, f in enumerate(filters):
-                own[k, : len(f)] = f
-            before = np.where(own < keys, own, -1)  # filters which come before this one
+                before[k, : len(f)] = f
             shared = np.zeros(len(i), bool)
             for at in range(0, len(i), 4096):
                 a, b = before[i[at : at + 4096]], before[j[at : at + 4096]]
@@ -180,8 +182,8 @@ def _verify(rows: DataFrame, cosine: float) -> DataFrame:
             for a, b in zip(starts, np.r_[starts[1:], len(rep)], strict=True):
                 if b - a > 1:
                     filters = [values[edges[k] : edges[k + 1]] for k in range(a, b)]
-                    key, low, high = group[a]
-                    for column, part in zip(found, block(key & ((1 << 48) - 1), chunk[a:b], low, high, rep[a:b], n[a:b], np.array(unit[a:b]), filters), strict=True):
+                    _, low, high = group[a]
+                    for column, part in zip(found, block(chunk[a:b], low, high, rep[a:b], n[a:b], np.array(unit[a:b]), filters), strict=True):
                         column.append(part)
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in found], names)
@@ -227,7 +229,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = candidates.join(full, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     steps = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = steps.select("key", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "chunk", "rep")
-    rows = placed.join(classes.join(met.select("rep", "filters"), "rep"), "rep").select("key", "low", "high", "chunk", "rep", "n", "vector", "filters")
+    # a vector goes to each of its filters, so in the type it came in, and with the filters before that one only
+    given = vectors.schema[vector_col].dataType
+    slim = F.col("vector").cast("array<float>") if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else F.col("vector")
+    own = classes.join(met.select("rep", "filters"), "rep").select("rep", "n", slim.alias("vector"), "filters")
+    before = F.filter("filters", lambda f: f < F.col("key").bitwiseAND(F.lit((1 << 48) - 1)))
+    rows = placed.join(own, "rep").select("key", "low", "high", "chunk", "rep", "n", "vector", before.alias("filters"))
     sorted_ = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     found = cut_lineage(_verify(sorted_, cosine))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

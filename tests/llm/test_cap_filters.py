@@ -51,3 +51,12 @@ def test_pairs_at_the_least_cosine(spark):
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0])] * 3 + [(2, [1.0, 2.1])], "vec_id long, embedding array<double>")
     assert sorted((r.id, r.n_links, r.component) for r in near_duplicates(df).collect()) == [(1, 3, 1)] * 3 + [(2, 3, 1)]
+
+
+def test_filters_are_sent_small(spark):
+    """A vector goes to each of its filters with their numbers, which are ints until a number needs more."""
+    from attestry.llm import cap_filters
+
+    classes = spark.createDataFrame([(1, [1.0, 0.5]), (2, [0.5, 1.0])], "rep long, vector array<double>")
+    assert cap_filters._met(classes, 8, 2).schema["filters"].dataType.simpleString() == "array<int>"
+    assert cap_filters._met(classes, 1 << 15, 2).schema["filters"].dataType.simpleString() == "array<bigint>"
