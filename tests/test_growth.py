@@ -81,3 +81,22 @@ def test_archived_facts_come_from_one_history(spark):
     folder = "/root/testdata/sf0.001"
     assert plan_of(runs.j4_versions(spark, folder)).count("Relation") == 2
     assert plan_of(runs.j4_memberships(spark, folder)).count("Relation") == 2
+
+
+def largest_method(df):
+    """Bytes of the largest generated method; the JVM compiles none above 8,000."""
+    execution = df._jdf.queryExecution()
+    execution.executedPlan()  # with the settings of now
+    made, sizes = execution.debug().codegenToSeq().iterator(), []
+    while made.hasNext():
+        sizes.append(made.next()._3().maxMethodCodeSize())
+    return max(sizes)
+
+
+def test_generated_methods_are_compiled(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans have no generated code before they run
+    try:
+        made = {query.__name__: largest_method(query(spark, "/root/testdata/sf0.001")) for query in (core.h9_fact_snapshot, core.history, core.facts_of, core.h4_family_edges, core.g12_edges, core.g6_pair_comparison, runs.g12_sums)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert not {name: size for name, size in made.items() if size > 8000}
