@@ -144,19 +144,42 @@ def linked(fps: DataFrame) -> DataFrame:
     return met.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b").distinct()
 
 
+#: Factors and summands of the bands' hash functions.
+_FACTORS = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(2, BANDS, BAND_ROWS)
+
+
+def _band_hashes(flat: np.ndarray, band: int, row: int) -> np.ndarray:
+    return flat * (_FACTORS[0, band, row] | np.uint64(1)) + _FACTORS[1, band, row]
+
+
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """BANDS keys of each set of hashes, none of them empty: each mixes the minima of BAND_ROWS hash functions."""
     flat = np.concatenate(sets)
-    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    factors, keys = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64)).reshape(2, BANDS, BAND_ROWS), []
+    starts, keys = np.cumsum([0] + [len(s) for s in sets[:-1]]), []
     for band in range(BANDS):
         key = np.full(len(sets), band, np.uint64)
         for row in range(BAND_ROWS):
-            key = mix(key ^ np.minimum.reduceat(flat * (factors[0, band, row] | np.uint64(1)) + factors[1, band, row], starts))
+            key = mix(key ^ np.minimum.reduceat(_band_hashes(flat, band, row), starts))
         keys.append(key)
     return np.stack(keys, axis=1)
 
 
+def band_parts(shingles: np.ndarray, wanted: set[int], least: float) -> list[tuple[int, np.ndarray]]:
+    """(key, parts) for those band keys of a set that are wanted: its smallest shingles but for the key's own minima.
+
+    Sets of similarity `least` have all shingles but a share of 1 - least in common, and so, beside the minima, one of
+    the smallest ones; sets too small for that keep the minima.
+    """
+    order, keys, found = np.sort(mix(shingles)), band_keys([shingles])[0].view(np.int64), []
+    spare = int((1 - least) * len(shingles) + 1e-9) + BAND_ROWS + 1
+    for band in range(BANDS):
+        if int(keys[band]) in wanted:
+            own = mix(shingles[[int(_band_hashes(shingles, band, row).argmin()) for row in range(BAND_ROWS)]])
+            first = order[:spare]
+            found.append((int(keys[band]), (first[~np.isin(first, own)] if least * len(shingles) > 2 * BAND_ROWS else first).view(np.int64)))
+    return found
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, text_key, cls, fp, n, keys) for each row, by the set of its text's shingles: a hash of all of it, which names
     texts of equal sets, its SimHash, its size and its band keys. The empty set has no keys. A null text counts as empty.
@@ -190,20 +213,39 @@ def _hashed(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "cls long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of pairs(a, b) whose texts' shingles have a Jaccard similarity of `least`; classes(cls, first) names a row of each."""
-    pairs = cut_lineage(pairs)
-    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "first.*"), "cls"))
+def _sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, size: int) -> DataFrame:
+    """(cls, shingles) of the wanted(cls); classes(cls, first) names a row of each."""
+    wanted = cut_lineage(wanted.join(classes.select("cls", "first.*"), "cls"))
     wanted = checked(wanted.select("cls", F.col("id").alias("first_id"), F.col("text_key").alias("first_key")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     texts = rows.join(wanted, rows.id.eqNullSafe(wanted.first_id) & (rows.key == wanted.first_key)).select("cls", "text")
-    sets = cut_lineage(_hashed(texts, size).dropDuplicates(["cls"]))
+    return cut_lineage(_hashed(texts, size).dropDuplicates(["cls"]))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, size: int, least: float) -> DataFrame:
+    """Those of pairs(a, b) whose texts' shingles have a Jaccard similarity of `least`; classes(cls, first) names a row of each."""
+    pairs = cut_lineage(pairs)
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), docs, id_col, text_col, classes, size)
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
+def _parts(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, size: int, least: float) -> DataFrame:
+    """(line, key, part) of rows(line, key) of classes and their band keys, by band_parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for line, shingles, own in zip(batch.column("line").to_pylist(), batch.column("shingles"), batch.column("own").to_pylist(), strict=True):
+                for key, found in band_parts(shingles.values.to_numpy().view(np.uint64), set(own), least):
+                    yield pa.RecordBatch.from_arrays([pa.array([line] * len(found), pa.int64()), pa.array([key] * len(found), pa.int64()), pa.array(found)], ["line", "key", "part"])
+
+    own = rows.groupBy("line").agg(F.collect_set("key").alias("own"))
+    sets = _sets(own.select(F.col("line").alias("cls")), docs, id_col, text_col, classes, size)
+    return own.join(sets.withColumnRenamed("cls", "line"), "line").mapInArrow(run, "line long, key long, part long")
+
+
 def golay_pairs(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes(cls, fp) whose fingerprints differ in two bits at most, as stars."""
     hubs = cut_lineage(classes.groupBy("fp").agg(F.min("cls").alias("hub"), F.count("*").alias("n")))
@@ -249,7 +291,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = checked(cut_lineage(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")), BROADCAST_KEYS)
     keyed = cut_lineage(each.join(shared, "key", "left_semi"))
     verify = lambda pairs: verified(pairs, docs, id_col, text_col, classes, size, least)
-    groups = cut_lineage(linked_groups(keyed, verify, least, golay_pairs(classes.where("n > 0"))))
+    parts = lambda dense: _parts(dense, docs, id_col, text_col, classes, size, least)
+    groups = cut_lineage(linked_groups(keyed, verify, least, parts, golay_pairs(classes.where("n > 0"))))
     named = classes.join(groups, classes.cls == groups.line, "left").select(F.coalesce("grp", "cls").alias("grp"), "first")
     first = cut_lineage(named.groupBy("grp").agg(F.min("first").alias("first")))
     names = [unused(docs, n) for n in ("first_id", "first_key", "text_hash")]

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import xxhash
 
-from attestry.llm.simhash_dedup import keep_first, near_duplicates
+from attestry.llm.simhash_dedup import band_keys, band_parts, keep_first, near_duplicates
 
 
 def brute(rows):
@@ -124,3 +125,22 @@ def test_large_group_of_near_copies(spark):
     rows += [(1000 + i, " ".join([*base[:100], *(f"y{rng.randrange(10**6)}" for _ in range(100))])) for i in range(300)]
     kept = {r.doc_id for r in keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
     assert kept == {0, *range(1000, 1300)}
+
+
+def test_band_parts_hold_a_common_one():
+    """Sets of similarity 0.8 and more that share a band key have a part of it in common, at any size."""
+    rng, met = np.random.default_rng(4), 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 120))
+        own = rng.integers(1, 1 << 62, n).astype(np.uint64)
+        less = int(rng.integers(0, n // 9 + 1))
+        a, b = np.unique(own), np.unique(np.concatenate((own[less:], rng.integers(1, 1 << 62, less).astype(np.uint64))))
+        common = len(np.intersect1d(a, b))
+        if common < 0.8 * (len(a) + len(b) - common):
+            continue
+        keys = [band_keys([x])[0].view(np.int64).tolist() for x in (a, b)]
+        first, second = (dict(band_parts(x, {*keys[0], *keys[1]}, 0.8)) for x in (a, b))
+        for key in set(first) & set(second):
+            met += 1
+            assert np.isin(first[key], second[key]).any(), (n, less)
+    assert met > 1000
