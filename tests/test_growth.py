@@ -5,6 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from attestry.functions.modality import with_context
 from attestry.operators import families as fam
 from attestry.operators import relations as rel
 from attestry.plans import claims_to_gate as core
@@ -100,3 +101,20 @@ def test_generated_methods_are_compiled(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert not {name: size for name, size in made.items() if size > 8000}
+
+
+def test_requests_meet_facts_once(spark):
+    """A gate joins requests with facts once, and forms its decisions without distinct counts, which would repeat its rows."""
+    plan = plan_of(core.QUERIES["i5_needs_review"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("own_s") and len([line for line in plan.split("\n") if "Join" in line and "own_s" in line]) == 1
+    assert "Expand" not in plan
+
+
+def test_context_of_texts_with_and_without_hints(spark):
+    said = ["first  advance\testimate", "Projected", "it is EXPECTED\n to rise", "a preliminary count", "plain text", "expectedly", "", None]
+    rows = spark.createDataFrame([("actual", x) for x in said], "m string, e string")
+    found = with_context(rows, "m", "e", "context").select("context").collect()
+    assert [r.context for r in found] == ["first_estimate", "forecast", "forecast", "estimated", "reported", "reported", "reported", "reported"]
+    from attestry.functions.modality import _said
+
+    assert rows.select(_said(F.col("e")).alias("s")).where("s = ''").count() == 2
