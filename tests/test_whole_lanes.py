@@ -17,6 +17,7 @@ from tests.test_queries import FOLDER
 WHOLE = (
     "g12_edges",
     "g12_edge_sums",
+    "g13_edge_listing",
 )
 
 
