@@ -18,6 +18,7 @@ WHOLE = (
     "g12_edges",
     "g12_edge_sums",
     "g13_edge_listing",
+    "g7_review_gate",
 )
 
 
