@@ -19,6 +19,7 @@ WHOLE = (
     "g12_edge_sums",
     "g13_edge_listing",
     "g7_review_gate",
+    "h5_fact_families",
 )
 
 
