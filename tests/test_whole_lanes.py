@@ -20,6 +20,7 @@ WHOLE = (
     "g13_edge_listing",
     "g7_review_gate",
     "h5_fact_families",
+    "h5_status_counts",
 )
 
 
