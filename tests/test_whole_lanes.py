@@ -21,6 +21,7 @@ WHOLE = (
     "g7_review_gate",
     "h5_fact_families",
     "h5_status_counts",
+    "h9_fact_snapshot",
 )
 
 
