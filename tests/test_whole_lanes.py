@@ -22,6 +22,7 @@ WHOLE = (
     "h5_fact_families",
     "h5_status_counts",
     "h9_fact_snapshot",
+    "h10_versions",
 )
 
 
