@@ -23,6 +23,7 @@ WHOLE = (
     "h5_status_counts",
     "h9_fact_snapshot",
     "h10_versions",
+    "h10_stored_versions",
 )
 
 
