@@ -24,6 +24,7 @@ WHOLE = (
     "h9_fact_snapshot",
     "h10_versions",
     "h10_stored_versions",
+    "h11_memberships",
 )
 
 
