@@ -25,6 +25,7 @@ WHOLE = (
     "h10_versions",
     "h10_stored_versions",
     "h11_memberships",
+    "h14_active_revision",
 )
 
 
