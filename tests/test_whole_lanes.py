@@ -26,6 +26,7 @@ WHOLE = (
     "h10_stored_versions",
     "h11_memberships",
     "h14_active_revision",
+    "h18_fact_detail",
 )
 
 
