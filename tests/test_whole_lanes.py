@@ -27,6 +27,7 @@ WHOLE = (
     "h11_memberships",
     "h14_active_revision",
     "h18_fact_detail",
+    "a10_fact_export_json",
 )
 
 
