@@ -28,6 +28,7 @@ WHOLE = (
     "h14_active_revision",
     "h18_fact_detail",
     "a10_fact_export_json",
+    "a11_fact_export_csv",
 )
 
 
