@@ -29,6 +29,7 @@ WHOLE = (
     "h18_fact_detail",
     "a10_fact_export_json",
     "a11_fact_export_csv",
+    "j10_review_queue",
 )
 
 
