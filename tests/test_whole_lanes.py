@@ -30,6 +30,7 @@ WHOLE = (
     "a10_fact_export_json",
     "a11_fact_export_csv",
     "j10_review_queue",
+    "j4_reviews_made_stale",
 )
 
 
