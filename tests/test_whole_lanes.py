@@ -31,6 +31,7 @@ WHOLE = (
     "a11_fact_export_csv",
     "j10_review_queue",
     "j4_reviews_made_stale",
+    "m12_fact_statuses",
 )
 
 
